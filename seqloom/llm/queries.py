@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.llm import chop, pack, reading, spans, tokens
+from seqloom.llm import chop, near, pack, reading, spans, tokens
 from seqloom.runtime import table
 
 
@@ -25,6 +25,18 @@ def p3_found(spark, d):
     return spans.shared_spans(_sequences(spark, d))
 
 
+def _reads_and_mutants(spark, d):
+    return table(spark, d, "seq_reads").select("rowid", "seq").unionByName(table(spark, d, "mutants").select("rowid", "seq"))
+
+
+def p4_found(spark, d):
+    return near.similar_pairs(_reads_and_mutants(spark, d))
+
+
+def p4_groups(spark, d):
+    return near.groups(_reads_and_mutants(spark, d))
+
+
 def p6_ids(spark, d):
     return tokens.encoded(table(spark, d, "documents"))
 
@@ -59,7 +71,7 @@ def p8_found(spark, d):
     return reading.reading_levels(docs, table(spark, d, "reading_labels")).where("level >= 3.5").select("doc_id")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p3_found, p6_ids, p6_round_trip, p7_packed, p7_limits, p7_unused, p8_found, p8_levels)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p3_found, p4_found, p4_groups, p6_ids, p6_round_trip, p7_packed, p7_limits, p7_unused, p8_found, p8_levels)}
 SQL = {
     "p1_found": """SELECT p.pars_id, g.chrom FROM chop_pars p JOIN genome g ON p.genome_fnp = g.genome_fnp
 WHERE length(regexp_replace(g.seq, '[^A-Za-z]', '', 'g')) > coalesce(p.window_length, 100)""",
@@ -68,5 +80,10 @@ w AS (SELECT rowid, i, substr(s, i, 64) AS k FROM (SELECT rowid, s, unnest(range
 shared AS (SELECT k FROM w GROUP BY k HAVING count(DISTINCT rowid) > 1),
 hits AS (SELECT rowid, i, lag(i) OVER (PARTITION BY rowid ORDER BY i) AS p FROM w SEMI JOIN shared USING (k))
 SELECT rowid, CAST(sum(CASE WHEN p IS NULL THEN 64 ELSE least(64, i - p) END) AS INTEGER) AS shared_letters FROM hits GROUP BY rowid""",
+    "p4_found": r"""WITH recs AS (SELECT rowid, upper(regexp_replace(s, '[-\s]', '', 'g')) AS s FROM (SELECT rowid, seq AS s FROM seq_reads UNION ALL SELECT rowid, seq FROM mutants)),
+grams AS (SELECT rowid, length(s) - 9 AS n, substr(s, i, 10) AS k FROM (SELECT rowid, s, unnest(range(1, length(s) - 8)) AS i FROM recs WHERE length(s) >= 10)),
+counts AS (SELECT rowid, n, k, count(*) AS c FROM grams GROUP BY ALL)
+SELECT a.rowid AS rowid_a, b.rowid AS rowid_b FROM counts a JOIN counts b ON a.k = b.k AND a.rowid < b.rowid
+GROUP BY a.rowid, b.rowid, a.n, b.n HAVING 10 * sum(least(a.c, b.c)) >= 7 * greatest(a.n, b.n)""",
     "p6_round_trip": "SELECT doc_id FROM documents WHERE false",
 }
