@@ -22,7 +22,13 @@ def from_name(df: DataFrame) -> DataFrame:
     """meta: the [key=value;…] part of the name, over what meta holds already; name without it."""
     inner = F.regexp_extract("name", r"\[([^\[\]]*=[^\[\]]*)\]", 1)
     pairs = F.filter(F.split(F.regexp_replace(inner, ";+$", ""), ";"), lambda p: p.contains("="))
-    parsed = F.map_from_entries(F.transform(F.array_distinct(F.transform(pairs, lambda p: F.substring_index(p, "=", 1))), lambda k: F.struct(k.alias("k"), F.try_element_at(F.filter(F.transform(pairs, lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.substring(p, F.instr(p, F.lit("=")) + 1, F.length(p)).alias("v"))), lambda x: x["k"] == k), F.lit(-1))["v"].alias("v"))))
+    none = F.create_map().cast("map<string,string>")
+
+    def put(m: Column, p: Column) -> Column:
+        key, value = F.substring_index(p, "=", 1), F.substring(p, F.instr(p, F.lit("=")) + 1, F.length(p))
+        return F.map_concat(F.map_filter(m, lambda k, v: k != key), F.create_map(key, value))
+
+    parsed = F.aggregate(pairs, none, put)
     base = F.coalesce("meta", F.create_map().cast("map<string,string>")) if "meta" in df.columns else F.create_map().cast("map<string,string>")
     kept = F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(parsed), k))
     return df.withColumns({"meta": F.when(inner == "", base).otherwise(F.map_concat(kept, parsed)), "name": F.regexp_replace("name", r"\[[^\[\]]*=[^\[\]]*\]", "")})
