@@ -28,10 +28,11 @@ def from_name(df: DataFrame) -> DataFrame:
         key, value = F.substring_index(p, "=", 1), F.substring(p, F.instr(p, F.lit("=")) + 1, F.length(p))
         return F.map_concat(F.map_filter(m, lambda k, v: k != key), F.create_map(key, value))
 
-    parsed = F.aggregate(pairs, none, put)
-    base = F.coalesce("meta", F.create_map().cast("map<string,string>")) if "meta" in df.columns else F.create_map().cast("map<string,string>")
-    kept = F.map_filter(base, lambda k, _: ~F.array_contains(F.map_keys(parsed), k))
-    return df.withColumns({"meta": F.when(inner == "", base).otherwise(F.map_concat(kept, parsed)), "name": F.regexp_replace("name", r"\[[^\[\]]*=[^\[\]]*\]", "")})
+    base = F.coalesce("meta", none) if "meta" in df.columns else none
+    df = df.withColumns({"_base": base, "_own": F.aggregate(pairs, none, put)})  # as columns: a lambda inside another one's lambda would capture its variables
+    kept = F.map_filter("_base", lambda k, v: ~F.array_contains(F.map_keys("_own"), k))
+    both = df.withColumns({"meta": F.map_concat(kept, "_own"), "name": F.regexp_replace("name", r"\[[^\[\]]*=[^\[\]]*\]", "")})
+    return both.withColumn("meta", F.coalesce("meta", "_base")).drop("_base", "_own")
 
 
 def to_name(df: DataFrame) -> DataFrame:

@@ -65,8 +65,8 @@ def variants(piles: DataFrame, reference: DataFrame, depth: int = 10, fraction:
     A base is a variant if depth and fraction are strictly above their cut-offs and the forward share
     of its high-quality counts is strictly inside (bias, 1 - bias).
     """
-    high = piles.where("hq")
-    at = high.where(F.col("base").isin(*"ACGTND")).groupBy("chrom", "pos").agg(F.sum("n").alias("depth"))
+    high = piles.where(F.col("hq") & F.col("base").isin(*"ACGTNDI"))
+    at = high.where(F.col("base") != "I").groupBy("chrom", "pos").agg(F.sum("n").alias("depth"))
     own = high.groupBy("chrom", "pos", F.col("base").alias("alt")).agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(F.col("strand") == "+", F.col("n"))), F.lit(0)).alias("f"))
     both = own.join(at, ["chrom", "pos"]).join(reference, ["chrom", "pos"]).where((F.col("alt") != F.col("ref")) & (F.col("alt") != "N"))
     share = F.when(F.col("n") > 0, F.col("f") / F.col("n"))

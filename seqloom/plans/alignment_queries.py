@@ -48,7 +48,7 @@ def _ref(s, d):
 REF = PILE + ", ref AS (SELECT chrom, pos, base AS ref FROM pile WHERE base IN ('A', 'C', 'G', 'T') GROUP BY chrom, pos, base QUALIFY row_number() OVER (PARTITION BY chrom, pos ORDER BY sum(n) DESC, base) = 1)"
 add("pileup", _pile, PILE + " SELECT chrom, pos, strand, hq, base, n FROM pile")
 add("pileup_depth", lambda s, d: P.depth_summary(_pile(s, d)), PILE + ", t AS (SELECT chrom, pos, sum(n) AS depth FROM pile GROUP BY ALL) SELECT chrom, min(depth)::BIGINT AS min, max(depth)::BIGINT AS max, avg(depth) AS mean, quantile_cont(depth, 0.5)::DOUBLE AS median, stddev_samp(depth) AS sd, count(*) AS positions FROM t GROUP BY chrom")
-_VAR = REF + """, h AS (SELECT * FROM pile WHERE hq), t AS (SELECT chrom, pos, sum(n) AS depth FROM h GROUP BY ALL), o AS (SELECT chrom, pos, base AS alt, sum(n) AS n, coalesce(sum(n) FILTER (strand = '+'), 0) AS f FROM h GROUP BY ALL),
+_VAR = REF + """, h AS (SELECT * FROM pile WHERE hq AND base IN ('A', 'C', 'G', 'T', 'N', 'D')), t AS (SELECT chrom, pos, sum(n) AS depth FROM h GROUP BY ALL), o AS (SELECT chrom, pos, base AS alt, sum(n) AS n, coalesce(sum(n) FILTER (strand = '+'), 0) AS f FROM h GROUP BY ALL),
 v AS (SELECT chrom, pos, ref, alt, n::BIGINT AS n, depth::BIGINT AS depth, n / depth AS fraction, f / n AS forward FROM o JOIN t USING (chrom, pos) JOIN ref USING (chrom, pos) WHERE alt <> ref AND alt <> 'N' AND depth > 10 AND n / depth > 0.05 AND f / n > 0.2 AND f / n < 0.8)"""
 add("variants", lambda s, d: P.variants(_pile(s, d), _ref(s, d), 10, 0.05, 0.2), _VAR + " SELECT * FROM v")
 add("variants_biallelic", lambda s, d: P.variants(_pile(s, d), _ref(s, d), 10, 0.05, 0.2, biallelic=True), _VAR + " SELECT * FROM v QUALIFY count(*) OVER (PARTITION BY chrom, pos) = 1")

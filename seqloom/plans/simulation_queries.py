@@ -27,7 +27,7 @@ add("known_variants", lambda s, d: X.known_variants(refs(s, d), [(3, "A"), (10,
 add("single_mutants", lambda s, d: X.all_single_mutants(refs(s, d)).groupBy("rowid").agg(F.count("*").alias("mutants"), F.countDistinct("seq").alias("distinct")), f"WITH {REFS} SELECT rowid, sum(3 + (b NOT IN ('A', 'C', 'G', 'T'))::INT)::BIGINT AS mutants, sum(3 + (b NOT IN ('A', 'C', 'G', 'T'))::INT)::BIGINT AS \"distinct\" FROM (SELECT rowid, unnest(string_split(seq, '')) AS b FROM refs WHERE seq <> '') GROUP BY rowid")
 add("amplification_errors", lambda s, d: X.amplification_errors(s, 100.0, 200, 30, 1e-4), "SELECT CAST(r AS INTEGER) AS round, 100.0 * pow(2.0, r) AS amount, 100.0 * pow(1 + pow(1 - 1e-4, 200), r) AS unchanged FROM range(31) t(r)")
 add("amplified_reads", lambda s, d: X.amplified(refs(s, d).withColumn("cnt", F.lit(1.0)), 20, 1e-4, 5, 1000).select("rowid", "copy", "seq"))
-add("abundance_fractions", lambda s, d: X.fractions(table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("amount")), "l_returnflag", "amount"), "SELECT l_returnflag, l_linestatus, sum(l_quantity) AS amount, sum(l_quantity) / sum(sum(l_quantity)) OVER (PARTITION BY l_returnflag) AS fraction FROM lineitem GROUP BY ALL")
+add("abundance_fractions", lambda s, d: X.fractions(table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("amount")), "l_returnflag", "amount"), "SELECT *, amount / sum(amount) OVER (PARTITION BY l_returnflag) AS fraction FROM (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS amount FROM lineitem GROUP BY ALL)")
 add("chimera_offsets", lambda s, d: refs(s, d).select("rowid", F.explode(X.shared_offsets(F.col("seq"), F.reverse("seq"), 4)).alias("offset")), f"WITH {REFS} SELECT rowid, CAST(i AS INTEGER) AS \"offset\" FROM (SELECT rowid, seq, unnest(range(0, length(seq) - 3)) AS i FROM refs WHERE length(seq) >= 4) WHERE substr(seq, CAST(i AS INTEGER) + 1, 4) = substr(reverse(seq), CAST(i AS INTEGER) + 1, 4)")
 add("windowed_events", lambda s, d: windowed(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["event_type"], "value", size="1 hour").select(F.unix_seconds("start").alias("start"), "event_type", "n", "total"), "SELECT CAST(floor(epoch(ts) / 3600) * 3600 AS BIGINT) AS start, event_type, count(*) AS n, sum(value) AS total FROM events WHERE ts IS NOT NULL GROUP BY 1, 2")
 add("quality_characters", lambda s, d: s.range(0, 94).select(F.col("id").alias("quality"), F.chr(F.col("id") + 33).alias("letter")), "SELECT r AS quality, chr(CAST(r + 33 AS INTEGER)) AS letter FROM range(94) t(r)")
