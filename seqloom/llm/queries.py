@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seqloom.llm import chop, near, pack, reading, spans, tokens
+from seqloom.llm import chop, near, pack, passages, reading, spans, tokens
 from seqloom.runtime import table
 
 
@@ -25,6 +25,10 @@ def p3_found(spark, d):
     return spans.shared_spans(_sequences(spark, d))
 
 
+def p3_passages(spark, d):
+    return passages.passages(_sequences(spark, d))
+
+
 def _reads_and_mutants(spark, d):
     return table(spark, d, "seq_reads").select("rowid", "seq").unionByName(table(spark, d, "mutants").select("rowid", "seq"))
 
@@ -71,7 +75,7 @@ def p8_found(spark, d):
     return reading.reading_levels(docs, table(spark, d, "reading_labels")).where("level >= 3.5").select("doc_id")
 
 
-QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p3_found, p4_found, p4_groups, p6_ids, p6_round_trip, p7_packed, p7_limits, p7_unused, p8_found, p8_levels)}
+QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p3_found, p3_passages, p4_found, p4_groups, p6_ids, p6_round_trip, p7_packed, p7_limits, p7_unused, p8_found, p8_levels)}
 SQL = {
     "p1_found": """SELECT p.pars_id, g.chrom FROM chop_pars p JOIN genome g ON p.genome_fnp = g.genome_fnp
 WHERE length(regexp_replace(g.seq, '[^A-Za-z]', '', 'g')) > coalesce(p.window_length, 100)""",
