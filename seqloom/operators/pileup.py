@@ -126,3 +126,59 @@ def error_profile(df: DataFrame, reference: DataFrame) -> DataFrame:
     counts = flat.groupBy("read_pos", "ref", "base").agg(F.count("*").alias("n"))
     total = counts.groupBy("read_pos", "ref").agg(F.sum("n").alias("_t"))
     return counts.join(total, ["read_pos", "ref"]).withColumn("rate", F.col("n") / F.col("_t")).drop("_t")
+
+
+def per_position(df: DataFrame, places: DataFrame, what: str) -> DataFrame:
+    """(name, chrom, pos, value, n): histogram of an alignment column at each position of regions; value null and n 0 where there are none."""
+    from seqloom.operators.intervals import overlapping
+
+    spots = places.select("name", "chrom", F.explode(F.sequence("start", F.col("end") - 1)).alias("pos"))
+    bed = to_bed(df.withColumn("name", F.col(what).cast("string")))
+    pairs = overlapping(places.select("name", "chrom", "start", "end"), bed)
+    inside = pairs.select("name", "chrom", F.explode(F.sequence(F.greatest("start", "start_b"), F.least("end", "end_b") - 1)).alias("pos"), F.col("name_b").alias("value"))
+    counts = inside.groupBy("name", "chrom", "pos", "value").agg(F.count("*").alias("n"))
+    return spots.join(counts, ["name", "chrom", "pos"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def paired(df: DataFrame) -> DataFrame:
+    """(name, seq_1, qual_1, seq_2, qual_2): primary alignments of a name side by side, turned to how they were read."""
+    from seqloom.functions.sequence import reverse_complement
+
+    rows = df.where("primary").select("name", F.struct(F.coalesce("rowid", F.lit(0)).alias("o"), F.when(F.col("reverse"), reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"), F.when(F.col("reverse"), F.reverse("qual")).otherwise(F.col("qual")).alias("qual")).alias("r"))
+    both = rows.groupBy("name").agg(F.min("r").alias("a"), F.max("r").alias("b"), F.count("*").alias("n"))
+    two = F.col("n") > 1
+    return both.select("name", F.col("a.seq").alias("seq_1"), F.col("a.qual").alias("qual_1"), F.when(two, F.col("b.seq")).alias("seq_2"), F.when(two, F.col("b.qual")).alias("qual_2"))
+
+
+def is_sorted(df: DataFrame) -> DataFrame:
+    """One row: whether alignments (in the order of rowid) go up by position within runs of a chromosome that don't come back."""
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("chrom").orderBy("rowid")
+    rows = df.where("chrom is not null").select("chrom", "rowid", "pos", F.lag("pos").over(order).alias("before"))
+    spans = rows.groupBy("chrom").agg(F.min("rowid").alias("a"), F.max("rowid").alias("b"), F.max((F.col("pos") < F.col("before")).cast("int")).alias("bad"))
+    clash = F.lag("b").over(Window.orderBy("a"))  # one row a chromosome
+    return spans.withColumn("clash", clash).agg(F.coalesce(F.max(F.coalesce("bad", F.lit(0))) + F.max(F.coalesce((F.col("clash") > F.col("a")).cast("int"), F.lit(0))), F.lit(0)).alias("x")).select((F.col("x") == 0).alias("sorted"))
+
+
+def flag_chromosomes(df: DataFrame, chroms: list[str]) -> DataFrame:
+    """include: false for alignments of names of which every aligned mate lies on one of these chromosomes."""
+    bad = df.groupBy("name").agg(F.min(F.coalesce(F.col("chrom").isin(*chroms), F.lit(False)).cast("int")).alias("_bad"))
+    return df.join(bad, "name").withColumn("include", F.col("_bad") == 0).drop("_bad")
+
+
+def pair_statistics(df: DataFrame, places: DataFrame, longest: int) -> DataFrame:
+    """(name, total, proper, mate_unmapped, discordant) of alignments in each region; zeros where there are none."""
+    from seqloom.operators.intervals import overlapping
+
+    apart = F.coalesce(F.col("chrom") != F.col("mate_chrom"), F.lit(False)) | (F.abs("insert_size") > longest)
+    kind = F.when(~F.col("mate_mapped"), "mate_unmapped").when(apart, "discordant").otherwise("proper")
+    pairs = overlapping(places.select("name", "chrom", "start", "end"), to_bed(df.withColumn("name", kind)))
+    counts = pairs.groupBy("name").agg(F.count("*").alias("total"), *[F.count_if(F.col("name_b") == k).alias(k) for k in ("proper", "mate_unmapped", "discordant")])
+    return places.select("name").join(counts, "name", "left").na.fill(0)
+
+
+def mate_distances(df: DataFrame) -> DataFrame:
+    """(distance, n): how far the mates of a name lie apart in the order of rowid."""
+    two = df.groupBy("name").agg(F.min("rowid").alias("a"), F.max("rowid").alias("b"), F.count("*").alias("k")).where("k = 2")
+    return two.groupBy((F.col("b") - F.col("a")).alias("distance")).agg(F.count("*").alias("n"))

@@ -48,3 +48,4 @@ REFS = r"refs AS (SELECT rowid, name, upper(regexp_replace(ref_seq, '[-\s]', '',
 CONTIGS = "contigs AS (SELECT chrom, upper(regexp_replace(seq, '[^A-Za-z]', '', 'g')) AS seq FROM genome WHERE seq IS NOT NULL)"
 REGIONS = """regions AS (SELECT event_type AS chrom, CAST(floor(epoch(ts)) AS BIGINT) % 1000000 AS "start", CAST(floor(epoch(ts)) AS BIGINT) % 1000000 + 20 + event_id % 400 AS "end", 'e' || (event_id % 5000) AS name, round(coalesce(value, 0.0), 3) AS score, CASE WHEN event_id % 3 = 0 THEN '-' ELSE '+' END AS strand, event_id AS rowid FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL)"""
 TARGETS = """targets AS (SELECT chrom, "start" - 50 AS "start", "end" + 100 AS "end", 't' || rowid AS name, strand, rowid FROM regions WHERE rowid % 7 = 0)"""
+BOTH_REGIONS = f"{REGIONS}, {TARGETS}"
