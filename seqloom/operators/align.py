@@ -123,6 +123,8 @@ def alignment(a: Column, b: Column) -> Column:
 def aligned_pairs(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b") -> DataFrame:
     """pairs with column aln; equal pairs of sequences are aligned once."""
     distinct = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b).distinct()
+    # alignment is work out of proportion to bytes, which adaptive coalescing goes by: the number of partitions is fixed
+    distinct = distinct.repartition(max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * pairs.sparkSession.sparkContext.defaultParallelism), a, b)
     return pairs.join(distinct.withColumn("aln", alignment(F.col(a), F.col(b))), [a, b], "left")
 
 
@@ -206,3 +208,21 @@ def stitched(pairs: DataFrame, least: int = 10, error: float = 0.1) -> DataFrame
         return pd.DataFrame(rows, columns=["seq", "overlap", "status"])
 
     return pairs.withColumn("_s", join("r1", "r2")).select("*", "_s.*").drop("_s")
+
+
+def called_variants(reads: DataFrame, reference: DataFrame, least: float = 2.0, fraction: float = 0.005, group: str | None = None, k: int = 12, similarity: float = 0.1) -> DataFrame:
+    """(ref_id, [group,] position, kind, base_a, base_b, n, fraction): differences of collapsed reads (rowid, seq, cnt) to their best reference.
+
+    Each distinct sequence is aligned once with the references of at least this k-mer similarity; differences count by the reads' cnt. Those of fewer than
+    `least` reads are left out, and fractions (of all reads of the reference, and group) must be
+    strictly above the cut-off.
+    """
+    keys = [group] if group else []
+    haps = reads.where("seq is not null").groupBy("seq").agg(F.min("rowid").alias("rowid"))
+    weights = reads.where("seq is not null").groupBy("seq", *keys).agg(F.sum("cnt").alias("w")).join(haps, "seq").select(F.col("rowid").alias("id_a"), *keys, "w")
+    pairs = aligned_pairs(candidate_pairs(haps, reference, k, similarity))
+    best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("aln.score"), "id_b"))).where("_r = 1").drop("_r")
+    total = best.select("id_a", "id_b").join(weights, "id_a").groupBy("id_b", *keys).agg(F.sum("w").alias("_t"))
+    found = differences(best).join(weights, "id_a").groupBy("id_b", *keys, "position", "kind", "base_a", "base_b").agg(F.sum("w").alias("n"))
+    out = found.where(F.col("n") >= least).join(total, ["id_b", *keys]).withColumn("fraction", F.col("n") / F.col("_t")).drop("_t")
+    return out.where(F.col("fraction") > fraction).withColumnRenamed("id_b", "ref_id")

@@ -105,3 +105,38 @@ def amino_acids_to_bed(df: DataFrame, positions: DataFrame, one_based: bool = Tr
     start = F.when(F.col("strand") == "-", F.col("end") - b).otherwise(F.col("start") + a)
     end = F.when(F.col("strand") == "-", F.col("end") - a).otherwise(F.col("start") + b)
     return hit.groupBy("id", "aa", "chrom", "strand").agg(F.min(start).alias("start"), F.max(end).alias("end"))
+
+
+def coding_sequences(df: DataFrame, genome: DataFrame) -> DataFrame:
+    """(parent, cdna, protein): the coding parts of each parent joined along the strand, and their translation."""
+    from seqloom.functions import sequence as S
+
+    parts = coding_positions(df).join(genome.select("chrom", F.col("seq").alias("_s")), "chrom")
+    text = F.expr("substring(_s, int(start + 1), int(end - start))")
+    piece = F.when(F.col("strand") == "-", S.reverse_complement(text)).otherwise(text)
+    whole = parts.groupBy("parent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("before", piece.alias("t")))), lambda x: x["t"]), "").alias("cdna"))  # the parts of one transcript
+    return whole.withColumn("protein", S.translated(F.col("cdna")))
+
+
+def position_table(df: DataFrame) -> DataFrame:
+    """(parent, cdna_pos, chrom, pos, strand): every coding letter's place on the transcript and the chromosome, from 0."""
+    size = F.col("end") - F.col("start")
+    at = F.explode(F.sequence(F.lit(0).cast("bigint"), size - 1)).alias("k")
+    rows = coding_positions(df).where("end > start").select("parent", "chrom", "start", "end", "before", "strand", at)
+    place = F.when(F.col("strand") == "-", F.col("end") - 1 - F.col("k")).otherwise(F.col("start") + F.col("k"))
+    return rows.select("parent", (F.col("before") + F.col("k")).alias("cdna_pos"), "chrom", place.alias("pos"), "strand")
+
+
+def transcript_span(df: DataFrame, spans: DataFrame) -> DataFrame:
+    """(id, chrom, start, end, strand): the place on the chromosome of transcript positions [cdna_start, cdna_end) of spans."""
+    rows = position_table(df).join(spans, F.col("parent") == F.col("id")).where("cdna_pos >= cdna_start and cdna_pos < cdna_end")
+    return rows.groupBy("id", "cdna_start", "cdna_end", "chrom", "strand").agg(F.min("pos").alias("start"), (F.max("pos") + 1).alias("end"))
+
+
+def elements_without_others(df: DataFrame, pattern: str) -> DataFrame:
+    """Spans (chrom, region_id, start, end) of the regions that have a matching element, and whether another region's element starts inside."""
+    hit = df.where(F.col("element").rlike(f"^(?:{pattern})$")).select("chrom", "region_id").distinct()
+    spans = df.join(hit, ["chrom", "region_id"], "left_semi").groupBy("chrom", "region_id").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    starts = df.select("chrom", "start", (F.col("start") + 1).alias("end"), "region_id")
+    inside = overlapping(spans, starts).where((F.col("region_id_b") != F.col("region_id"))).select("chrom", "region_id").distinct().withColumn("intervened", F.lit(True))
+    return spans.join(inside, ["chrom", "region_id"], "left").withColumn("intervened", F.coalesce("intervened", F.lit(False)))

@@ -195,3 +195,23 @@ def test_simulation_is_stable(spark):
     df = X.random_sequences(spark, 50, 10, 30, 3)
     again = {r.rowid: (r.seq, tuple(r.qual)) for r in X.random_sequences(spark, 50, 10, 30, 3).repartition(3).collect()}
     assert {r.rowid: (r.seq, tuple(r.qual)) for r in df.collect()} == again and all(10 <= len(s) <= 30 for s, _ in again.values())
+
+
+def test_transcripts(spark):
+    rows = [(1, "CDS", "c", 1, 6, "-", {"Parent": "t"}), (2, "CDS", "c", 10, 12, "-", {"Parent": "t"}), (3, "CDS", "c", 1, 3, "+", {"Parent": "u"}), (4, "gene", "c", 1, 3, "+", None)]
+    df = spark.createDataFrame(rows, "rowid long, type string, seqid string, start long, end long, strand string, attributes map<string,string>")
+    genome = spark.createDataFrame([("c", "TTACCAGGGCAT")], "chrom string, seq string")
+    found = {r.parent: (r.cdna, r.protein) for r in G.coding_sequences(df, genome).collect()}
+    assert found == {"t": ("ATGTGGTAA", "MW*"), "u": ("TTA", "L")}
+    spans = spark.createDataFrame([("t", 0, 4)], "id string, cdna_start long, cdna_end long")
+    assert [(r.start, r.end) for r in G.transcript_span(df, spans).collect()] == [(5, 12)]
+    want = spark.createDataFrame([("t", 2)], "id string, aa int")
+    assert [(r.start, r.end) for r in G.amino_acids_to_bed(df, want).collect()] == [(3, 6)]
+
+
+def test_called_variants(spark):
+    ref = "ACGTTGCAAGGCTTACGATCCGTAAGCTTGCAACGGTT"
+    snp, gap = ref[:15] + "T" + ref[16:], ref[:20] + ref[21:]
+    reads = spark.createDataFrame([(1, ref, 6.0), (2, snp, 3.0), (3, gap, 1.0), (4, snp, 1.0), (5, None, 9.0)], "rowid long, seq string, cnt double")
+    found = A.called_variants(reads, spark.createDataFrame([(0, ref)], "rowid long, seq string"), 2.0, 0.1, k=8).collect()
+    assert [(r.position, r.kind, r.base_a, r.base_b, r.n) for r in found] == [(15, "mismatch", "T", ref[15], 4.0)] and found[0].fraction == pytest.approx(4 / 11)
