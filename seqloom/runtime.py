@@ -37,6 +37,12 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_written(spark: SparkSession) -> None:
+    """Remove all tables that written() left in the shared folder; no DataFrame that reads them may be used afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/seqloom")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_or_plain(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """broadcast(df) if it is shown to have at most max_rows rows, else df for a shuffled join."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
