@@ -127,6 +127,19 @@ def test_similar_pairs(spark):
     assert groups == {r: find(r) for r, s in rows if r is not None and s is not None and len(plain(s)) >= 10}
 
 
+def found_pairs(spark, rows):
+    return {(r.rowid_a, r.rowid_b) for r in near.similar_pairs(spark.createDataFrame(rows, "rowid long, seq string")).collect()}
+
+
+def test_pairs_that_share_a_repetitive_part(spark):
+    rng = random.Random(12)
+    some = lambda n: "".join(rng.choices("ACGT", k=n))
+    parts = ["N" * 100] * 9 + [some(3) * 40 for _ in range(4)]
+    rows = list(enumerate(part + some(size) for part in parts for size in (15, 20, 30) for _ in range(2)))
+    expected = brute_pairs(rows)
+    assert len(expected) > 50 and found_pairs(spark, rows) == expected
+
+
 def test_window_hashes():
     codes = np.frombuffer(b"ACGTACGTACGTTTACGTACGTAC", np.uint8)
     for size in (1, 2, 3, 10, 16, 24, 25):
