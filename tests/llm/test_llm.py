@@ -140,6 +140,20 @@ def test_pairs_that_share_a_repetitive_part(spark):
     assert len(expected) > 50 and found_pairs(spark, rows) == expected
 
 
+def test_pairs_of_a_large_family(spark):
+    rng = random.Random(13)
+    rows = []
+    for size, at in ((50, 0), (120, 10_000)):
+        parent = rng.choices("ACGT", k=size)
+        for k in range(2000):
+            own = list(parent)
+            for _ in range(1 if size == 50 else rng.randrange(1, 4)):
+                own[rng.randrange(size)] = rng.choice("ACGT")
+            rows.append((at + k, "".join(own)))
+    expected = brute_pairs([r for r in rows if r[0] % 10_000 < 250])
+    assert len(expected) > 10_000 and {p for p in found_pairs(spark, rows) if max(x % 10_000 for x in p) < 250} == expected
+
+
 def test_window_hashes():
     codes = np.frombuffer(b"ACGTACGTACGTTTACGTACGTAC", np.uint8)
     for size in (1, 2, 3, 10, 16, 24, 25):
