@@ -154,6 +154,11 @@ def test_pairs_of_a_large_family(spark):
     assert len(expected) > 10_000 and {p for p in found_pairs(spark, rows) if max(x % 10_000 for x in p) < 250} == expected
 
 
+def test_pairs_of_poly_a(spark):
+    rows = [(1, "A" * 100), (2, "A" * 100 + "C"), (3, "A" * 81), (4, "A" * 40 + "C" + "A" * 40), (5, "C" * 90)]
+    assert found_pairs(spark, rows) == brute_pairs(rows) >= {(1, 2), (3, 4)}
+
+
 def test_window_hashes():
     codes = np.frombuffer(b"ACGTACGTACGTTTACGTACGTAC", np.uint8)
     for size in (1, 2, 3, 10, 16, 24, 25):
