@@ -182,6 +182,21 @@ def test_passages(spark):
     assert [(r.query_id, r.target_id) for r in rows] == [(50, 1)] and rows[0].identity > 0.9 and rows[0].query_end - rows[0].query_start > 250
 
 
+def test_passages_are_whole(spark):
+    rng = random.Random(6)
+    some = lambda n: "".join(rng.choices("ACGT", k=n))
+    rows, expected = [], set()
+    for k in range(20):  # shared stretches of exactly 64 letters
+        shared = some(64)
+        rows += [(50 * k, "A" + some(40) + "C" + shared + "A" + some(30)), (50 * k + 1, some(25) + "G" + shared + "T" + some(50))]
+        expected.add((50 * k, 50 * k + 1, 42, 106, 26, 90))
+    one, two = some(150), some(100)
+    rows += [(5000, one + "A" + two), (5001, two + "C" + one)]
+    expected |= {(5000, 5001, 0, 150, 101, 251), (5000, 5001, 151, 251, 0, 100)}
+    found = passages.passages(spark.createDataFrame(rows, "rowid long, seq string")).collect()
+    assert {tuple(r)[:6] for r in found} == expected and all(r.identity == 1 for r in found)
+
+
 TEXTS = ["", None, "Hello world", "naïve <|endoftext|> 日本語 😀", "x" * 5000 + " " + "é" * 700, "\r\n\t  \x00", "Hello world"]
 
 
