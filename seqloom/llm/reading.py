@@ -7,8 +7,8 @@ distribution under the easy model is reported, and the difference of its mean su
 for short texts, is mapped to the label scale by isotonic regression. The regression is fitted on
 scores under models trained on the other half of the labelled documents.
 
-The n-grams are counted on executors; only counts (at most 4 x 2**20 numbers) and one score for each
-of at most max_labelled labelled documents come to the driver; the models sent along have 2 x 2**20
+The n-grams are counted on executors; only counts (at most 4 x 40**4 numbers) and one score for each
+of at most max_labelled labelled documents come to the driver; the models sent along have 2 x 40**4
 numbers, whatever the data's size. Documents are not shuffled.
 
 Defined results: null labels are left out, several labels of a document are averaged; documents
@@ -19,6 +19,7 @@ are scored alike; an empty table gives an empty table; further columns are ignor
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from seqloom.llm.texts import own_text
 from seqloom.runtime import small_or_plain, written
 
-ORDER, SYMBOLS = 4, 32
+#: Letters above ASCII have the symbols from ASCII_SYMBOLS on.
+ORDER, ASCII_SYMBOLS, SYMBOLS = 4, 32, 40
 #: A fit takes at most so many labelled documents, those with the least hash of their id.
 MAX_LABELLED = 200_000
 #: Letters of no evidence that every document's score is averaged with.
@@ -37,8 +39,8 @@ SHRINK = 30
 
 
 def symbol_table() -> np.ndarray:
-    """A symbol below 32 for each byte: letters 1-26, white space 27, digits 28, ends of sentences 29, commas and the like 30, the rest 31."""
-    t = np.full(256, 31, np.int64)
+    """A symbol below 32 for each ASCII character: letters 1-26, white space 27, digits 28, ends of sentences 29, commas and the like 30, the rest 31."""
+    t = np.full(128, 31, np.int64)
     for k in range(26):
         t[ord("a") + k] = t[ord("A") + k] = k + 1
     for chars, k in ((" \t\n\r\x0b\x0c", 27), ("0123456789", 28), (".!?", 29), (",;:()", 30)):
@@ -50,10 +52,32 @@ def symbol_table() -> np.ndarray:
 _TABLE = symbol_table()
 
 
+@functools.cache
+def symbol_above(code: int) -> int:
+    """The symbol of a code point above ASCII: of a letter in either case by a hash, of signs and spaces as of those of ASCII."""
+    c = chr(code)
+    if c.isalpha():
+        return ASCII_SYMBOLS + (ord(c.lower()[0]) * 0x9E3779B1 >> 16) % (SYMBOLS - ASCII_SYMBOLS)
+    for chars, k in (("。！？…｡", 29), ("、，；：（）､", 30)):
+        if c in chars:
+            return k
+    return 27 if c.isspace() else 28 if c.isdecimal() else 31
+
+
+def symbols(text: str) -> np.ndarray:
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+    s = _TABLE[np.minimum(codes, 127)]
+    above = codes > 127
+    if above.any():
+        kinds, which = np.unique(codes[above], return_inverse=True)
+        s[above] = np.array([symbol_above(c) for c in kinds.tolist()], np.int64)[which]
+    return s
+
+
 def grams(text: str) -> np.ndarray:
     """The index of the n-gram that ends at each letter; symbol 0 stands before the text, runs of equal white space or other signs count once."""
-    s = _TABLE[np.frombuffer(text.encode("utf-8", "replace"), np.uint8)]
-    s = s[np.concatenate(([True], (s[1:] != s[:-1]) | (s[1:] < 27)))] if len(s) else s
+    s = symbols(text)
+    s = s[np.concatenate(([True], (s[1:] != s[:-1]) | (s[1:] < 27) | (s[1:] >= ASCII_SYMBOLS)))] if len(s) else s
     padded = np.concatenate((np.zeros(ORDER - 1, np.int64), s))
     g = np.zeros(len(s), np.int64)
     for k in range(ORDER):

@@ -63,7 +63,7 @@ _CODE = regex.compile(r"\[(?:img|code|url=[^\]]*)\][^\[]*\[/(?:img|code|url)\]|<
 _TAGS = regex.compile(r"\[/?[a-z*]+(?:=[^\]]*)?\]|</?[a-zA-Z!][^<>]{0,300}>", regex.I)
 _ENTITIES = regex.compile(r"&(?:#\d+|#x[0-9a-f]+|[a-z]+);?", regex.I)
 _LINKS = regex.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\S+")
-_BLOB = regex.compile(r"\S{45,}")
+_BLOB = regex.compile(r"[A-Za-z0-9+/=_-]{45,}")
 
 
 def without_quotes(text: str) -> str:

@@ -258,6 +258,14 @@ def test_reading_levels(spark):
     assert reading.reading_levels(df.limit(0), labels).count() == 0
 
 
+def test_letters_above_ascii_are_read():
+    ja, ru = "吾輩は猫である名前はまだ無いどこで生れたかとんと見当がつかぬ何でも薄暗いじめじめした所でニャーニャー泣いていた。", "Все счастливые семьи похожи друг на друга"
+    assert texts.own_text(ja) == ja and texts.own_text("see " + "QUJD0" * 20 + " here").split() == ["see", "here"]
+    for text in (ja, ru):
+        assert len(reading.grams(text)) == len(text) and len(set(reading.symbols(text).tolist())) > 6
+    assert reading.symbols("Ы").tolist() == reading.symbols("ы").tolist() and len(reading.grams("--  !!")) == 3
+
+
 def test_isotonic():
     knots, values = reading.isotonic(np.array([1.0, 2, 2, 3, 4]), np.array([1.0, 3, 1, 1, 5]))
     assert (np.diff(np.interp([0, 1, 2, 3, 4, 9], knots, values)) >= 0).all() and values[-1] == 5
