@@ -178,10 +178,18 @@ def open_frame(df: DataFrame) -> DataFrame:
 
 
 def renamed(df: DataFrame, stub: str, width: int = 6) -> DataFrame:
-    """Names stub.number in the order of rowid, without one global sort task.
+    """Names stub.number in the order of rowid, without one global sort task."""
+    out = numbered(df).withColumn("old_name", F.col("name"))
+    return out.withColumn("name", F.concat(F.lit(stub + "."), F.lpad(F.col("_number").cast("string"), width, "0"))).drop("_number")
 
-    Numbers within range partitions, plus the count of the partitions before.
-    """
+
+def in_chunks(df: DataFrame, size: int) -> DataFrame:
+    """With column chunk: files of so many reads each, in the order of rowid."""
+    return numbered(df).withColumn("chunk", F.floor(F.col("_number") / size)).drop("_number")
+
+
+def numbered(df: DataFrame) -> DataFrame:
+    """With _number from 0 in the order of rowid: numbers within range partitions, plus the count of the partitions before."""
     placed = df.repartitionByRange("rowid").sortWithinPartitions("rowid").withColumn("_p", F.spark_partition_id())
     from seqloom.runtime import written
 
@@ -189,8 +197,7 @@ def renamed(df: DataFrame, stub: str, width: int = 6) -> DataFrame:
     counts = placed.groupBy("_p").agg(F.count("*").alias("_n"))
     before = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     number = F.row_number().over(Window.partitionBy("_p").orderBy("rowid")) + F.col("_before") - 1
-    out = placed.join(F.broadcast(before), "_p").withColumn("old_name", F.col("name")).withColumn("name", F.concat(F.lit(stub + "."), F.lpad(number.cast("string"), width, "0")))
-    return out.drop("_p", "_before")
+    return placed.join(F.broadcast(before), "_p").withColumn("_number", number).drop("_p", "_before")
 
 
 def replicated(df: DataFrame) -> DataFrame:

@@ -38,8 +38,10 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def targets(spark: SparkSession, d: str) -> DataFrame:
-    """A second set of intervals: users' sessions."""
-    return regions(spark, d).where("rowid % 7 = 0").select("chrom", (F.col("start") - 50).alias("start"), (F.col("end") + 100).alias("end"), F.concat(F.lit("t"), "rowid").alias("name"), "strand", "rowid")
+    """A second set of intervals: around the first event of each user and type, from all events."""
+    users = table(spark, d, "events").select(F.col("event_id").alias("rowid"), "user_id")
+    first = regions(spark, d).join(users, "rowid").groupBy("chrom", "user_id").agg(F.min(F.struct("rowid", "start", "end", "strand")).alias("e"))
+    return first.select("chrom", (F.col("e.start") - 50).alias("start"), (F.col("e.end") + 100).alias("end"), F.concat(F.lit("t"), "e.rowid").alias("name"), "e.strand", "e.rowid")
 
 
 READS = r"reads AS (SELECT rowid, name, upper(regexp_replace(seq, '[-\s]', '', 'g')) AS seq, coalesce(cnt, 1.0) AS cnt, sample, meta FROM seq_reads WHERE seq IS NOT NULL)"
@@ -47,5 +49,5 @@ SCORED = "scored AS (SELECT rowid, name, upper(seq) AS seq, qual, coalesce(cnt,
 REFS = r"refs AS (SELECT rowid, name, upper(regexp_replace(ref_seq, '[-\s]', '', 'g')) AS seq, target FROM ref_seqs WHERE ref_seq IS NOT NULL)"
 CONTIGS = "contigs AS (SELECT chrom, upper(regexp_replace(seq, '[^A-Za-z]', '', 'g')) AS seq FROM genome WHERE seq IS NOT NULL)"
 REGIONS = """regions AS (SELECT event_type AS chrom, CAST(floor(epoch(ts)) AS BIGINT) % 1000000 AS "start", CAST(floor(epoch(ts)) AS BIGINT) % 1000000 + 20 + event_id % 400 AS "end", 'e' || (event_id % 5000) AS name, round(coalesce(value, 0.0), 3) AS score, CASE WHEN event_id % 3 = 0 THEN '-' ELSE '+' END AS strand, event_id AS rowid FROM events WHERE ts IS NOT NULL AND event_type IS NOT NULL)"""
-TARGETS = """targets AS (SELECT chrom, "start" - 50 AS "start", "end" + 100 AS "end", 't' || rowid AS name, strand, rowid FROM regions WHERE rowid % 7 = 0)"""
+TARGETS = """targets AS (SELECT chrom, "start" - 50 AS "start", "end" + 100 AS "end", 't' || rowid AS name, strand, rowid FROM (SELECT regions.*, user_id FROM regions JOIN events ON rowid = event_id) QUALIFY row_number() OVER (PARTITION BY chrom, user_id ORDER BY rowid) = 1)"""
 BOTH_REGIONS = f"{REGIONS}, {TARGETS}"

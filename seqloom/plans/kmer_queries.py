@@ -48,7 +48,7 @@ gk AS (SELECT chrom, i - 1 AS pos, substr(seq, i, 15) AS kmer FROM (SELECT *, un
 h AS (SELECT id, reverse, chrom, qpos, pos, qpos - row_number() OVER (PARTITION BY id, reverse, chrom, pos - qpos ORDER BY qpos) AS g FROM qk JOIN gk USING (kmer))
 SELECT id, chrom, reverse, CAST(min(qpos) AS INTEGER) AS query_start, CAST(min(pos) AS INTEGER) AS start, count(*) + 14 AS size FROM h GROUP BY id, reverse, chrom, pos - qpos, g HAVING count(*) + 14 >= 20"""
 add("exact_streaks", lambda s, d: K.exact_streaks(refs(s, d), contigs(s, d), 15, 20), _STREAK, f"{REFS}, {CONTIGS}")
-add("shared_kmer_blocks", lambda s, d: K.shared_blocks(reads(s, d).where("length(seq) >= 150"), refs(s, d).orderBy("rowid").limit(1), 12, 4790))
+add("shared_kmer_blocks", lambda s, d: K.shared_blocks(reads(s, d), refs(s, d), 12, 0.99), prof("reads", 12) + ", o AS (SELECT kmer, count(*) AS sequences FROM p WHERE n = 1 GROUP BY kmer HAVING count(*) >= (SELECT count(*) FROM reads) * (1 - CAST(0.99 AS DOUBLE))), u AS (SELECT id, kmer, min(pos) AS pos FROM (SELECT rowid AS id, i - 1 AS pos, substr(seq, i, 12) AS kmer FROM (SELECT rowid, seq, unnest(range(1, length(seq) - 10)) AS i FROM refs WHERE length(seq) >= 12)) GROUP BY id, kmer HAVING count(*) = 1), g AS (SELECT *, pos - row_number() OVER (PARTITION BY id ORDER BY pos) AS g FROM u JOIN o USING (kmer)) SELECT id, CAST(min(pos) AS INTEGER) AS start, CAST(max(pos) + 12 AS INTEGER) AS \"end\", min(sequences) AS sequences FROM g GROUP BY id, g", BOTH)
 _MOT = ", {h} AS (SELECT chrom AS id, i - 1 AS start, i + {n} - 1 AS \"end\", strand, e AS errors FROM (SELECT chrom, i, '+' AS strand, {f} AS e FROM l UNION ALL SELECT chrom, i, '-', {r} FROM l) WHERE e <= {m})"
 
 

@@ -92,11 +92,19 @@ on_reads("starts_with_motif", lambda r: R.starting_with(r, "ATG", 1), "SELECT ro
 on_reads("ends_with_motif", lambda r: R.ending_with(r, "TRC", 1), "SELECT rowid FROM reads WHERE length(seq) >= 3 AND (substr(seq, -3, 1) <> 'T')::INT + (substr(seq, -2, 1) NOT IN ('A', 'G', 'R'))::INT + (substr(seq, -1, 1) <> 'C')::INT <= 1", ("rowid",))
 on_reads("starts_and_ends_with", lambda r: R.ending_with(R.starting_with(r, "AT"), "GC"), "SELECT rowid FROM reads WHERE seq LIKE 'AT%' AND seq LIKE '%GC'", ("rowid",))
 on_reads("extract_on_length", lambda r: r.where(F.length("seq").between(100, 200)), "SELECT rowid, seq FROM reads WHERE length(seq) BETWEEN 100 AND 200")
-add("extract_by_name", lambda spark, d: R.by_name(reads(spark, d), reads(spark, d).where("rowid % 5 = 0").select("name")).select("rowid"), f"WITH {READS} SELECT rowid FROM reads WHERE name IN (SELECT name FROM reads WHERE rowid % 5 = 0 AND name IS NOT NULL)")
-add("exclude_by_name", lambda spark, d: R.by_name(reads(spark, d), reads(spark, d).where("rowid % 5 = 0").select("name"), excluding=True).select("rowid"), f"WITH {READS} SELECT rowid FROM reads WHERE name IS NULL OR name NOT IN (SELECT name FROM reads WHERE rowid % 5 = 0 AND name IS NOT NULL)")
+
+
+def _mutated(spark, d):
+    """Names of the reads that have mutants."""
+    parents = table(spark, d, "mutants").select(F.col("parent_rowid").alias("rowid")).distinct()
+    return reads(spark, d).join(parents, "rowid", "left_semi").select("name")
+
+
+add("extract_by_name", lambda spark, d: R.by_name(reads(spark, d), _mutated(spark, d)).select("rowid"), f"WITH {READS} SELECT rowid FROM reads WHERE name IN (SELECT name FROM reads WHERE rowid IN (SELECT parent_rowid FROM mutants) AND name IS NOT NULL)")
+add("exclude_by_name", lambda spark, d: R.by_name(reads(spark, d), _mutated(spark, d), excluding=True).select("rowid"), f"WITH {READS} SELECT rowid FROM reads WHERE name IS NULL OR name NOT IN (SELECT name FROM reads WHERE rowid IN (SELECT parent_rowid FROM mutants) AND name IS NOT NULL)")
 add("extract_same_seqs", lambda spark, d: reads(spark, d).join(table(spark, d, "mutants").select(F.upper(F.regexp_replace("seq", r"[-\s]", "")).alias("seq")).where("seq is not null").distinct(), "seq", "left_semi").select("rowid"), f"WITH {READS} SELECT rowid FROM reads WHERE seq IN (SELECT upper(regexp_replace(seq, '[-\\s]', '', 'g')) FROM mutants WHERE seq IS NOT NULL)")
-on_reads("split_up_file", lambda r: r.withColumn("chunk", F.floor(F.col("rowid") / 500)), "SELECT rowid, rowid // 500 AS chunk FROM reads", ("rowid", "chunk"))
+on_reads("split_up_file", lambda r: R.in_chunks(r, 500), "SELECT rowid, (row_number() OVER (ORDER BY rowid) - 1) // 500 AS chunk FROM reads", ("rowid", "chunk"))
 on_reads("reads_at_position", lambda r: r.orderBy("rowid").offset(100).limit(50), "SELECT rowid, seq FROM reads ORDER BY rowid LIMIT 50 OFFSET 100")
 add("random_sample", lambda spark, d: R.sampled(reads(spark, d), 200, 42).select("rowid"))
 add("even_out_complement", lambda spark, d: R.balanced(reads(spark, d), F.coalesce(F.col("name").contains("_t1"), F.lit(False)), 42).groupBy(F.coalesce(F.col("name").contains("_t1"), F.lit(False)).alias("marked")).agg(F.count("*").alias("reads")), f"WITH {READS}, c AS (SELECT coalesce(contains(name, '_t1'), false) AS marked, count(*) AS n FROM reads GROUP BY 1) SELECT marked, (SELECT min(n) FROM c) AS reads FROM c")
-add("demultiplex", lambda spark, d: R.demultiplexed(reads(spark, d), refs(spark, d).where("rowid % 20 = 0").select(F.col("rowid").alias("id"), F.substring("seq", 1, 8).alias("barcode")), 1).groupBy("barcode_id", "reverse").agg(F.count("*").alias("reads")))
+add("demultiplex", lambda spark, d: R.demultiplexed(reads(spark, d), refs(spark, d).select(F.col("rowid").alias("id"), F.substring("seq", 1, 8).alias("barcode")), 1).groupBy("barcode_id", "reverse").agg(F.count("*").alias("reads")))

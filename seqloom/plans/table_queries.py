@@ -30,7 +30,7 @@ add("table_from_seqs", lambda s, d: M.as_table(reads(s, d), ["sample", "target"]
 add("meta_fields", lambda s, d: M.keys_of(reads(s, d)), "SELECT DISTINCT unnest(map_keys(meta)) AS key FROM reads")
 add("meta_from_name", lambda s, d: M.from_name(reads(s, d).drop("meta")).select("rowid", "name", M.get("sample").alias("sample"), M.get("target").alias("target")), r"SELECT rowid, regexp_replace(name, '\[[^\[\]]*=[^\[\]]*\]', '', 'g') AS name, CASE WHEN regexp_matches(name, '[\[;]sample=') THEN regexp_extract(name, '[\[;]sample=([^;\]]*)', 1) END AS sample, CASE WHEN regexp_matches(name, '[\[;]target=') THEN regexp_extract(name, '[\[;]target=([^;\]]*)', 1) END AS target FROM reads")
 add("meta_to_name", lambda s, d: M.to_name(reads(s, d)).select("rowid", "name"), "SELECT rowid, CASE WHEN cardinality(meta) > 0 THEN name || '[' || list_aggregate(list_transform(list_sort(map_keys(meta)), lambda k: k || '=' || coalesce(meta[k], 'NA')), 'string_agg', ';') || ']' ELSE name END AS name FROM reads")
-add("shared_lines", lambda s, d: M.shared_lines(reads(s, d), table(s, d, "seq_reads").where("rowid % 3 <> 0"), "name", "sample"), ", a AS (SELECT name AS key, min(sample) AS v FROM reads WHERE name IS NOT NULL GROUP BY 1), b AS (SELECT name AS key, min(sample) AS v FROM seq_reads WHERE rowid % 3 <> 0 AND name IS NOT NULL GROUP BY 1) SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'only_first' WHEN a.key IS NULL THEN 'only_second' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' ELSE 'different' END AS status FROM a FULL JOIN b ON a.key = b.key")
+add("shared_lines", lambda s, d: M.shared_lines(reads(s, d), table(s, d, "seq_reads").where("qual is not null"), "name", "sample"), ", a AS (SELECT name AS key, min(sample) AS v FROM reads WHERE name IS NOT NULL GROUP BY 1), b AS (SELECT name AS key, min(sample) AS v FROM seq_reads WHERE qual IS NOT NULL AND name IS NOT NULL GROUP BY 1) SELECT coalesce(a.key, b.key) AS key, CASE WHEN b.key IS NULL THEN 'only_first' WHEN a.key IS NULL THEN 'only_second' WHEN a.v IS NOT DISTINCT FROM b.v THEN 'same' ELSE 'different' END AS status FROM a FULL JOIN b ON a.key = b.key")
 add("separate_column", lambda s, d: M.separated(table(s, d, "sample_meta").where("barcode is not null").select("sample", "barcode"), "barcode", "A", "<", ">"), "SELECT sample, CASE WHEN i > 1 THEN '<' ELSE '' END || l[i] || CASE WHEN i < len(l) THEN '>' ELSE '' END AS barcode, CAST(i - 1 AS INTEGER) AS part FROM (SELECT sample, string_split(barcode, 'A') AS l, unnest(range(1, len(string_split(barcode, 'A')) + 1)) AS i FROM sample_meta WHERE barcode IS NOT NULL)", "one AS (SELECT 1)")
 add("presence_matrix", lambda s, d: M.presence_matrix(table(s, d, "lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.sum("l_quantity").alias("q")), "l_returnflag", "l_linestatus", "q", 100.0), """, q AS (SELECT l_returnflag, l_linestatus, sum(l_quantity) AS q FROM lineitem GROUP BY ALL HAVING sum(l_quantity) >= 100), w AS (SELECT l_returnflag, max((l_linestatus = 'F')::BIGINT) AS l_linestatus_F, max((l_linestatus = 'O')::BIGINT) AS l_linestatus_O FROM q GROUP BY 1) SELECT * FROM w UNION ALL SELECT 'total', sum(l_linestatus_F)::BIGINT, sum(l_linestatus_O)::BIGINT FROM w""")
 add("highest_fraction_rows", lambda s, d: reads(s, d).where("sample is not null").groupBy("sample").agg(F.min(F.struct((-F.col("cnt")).alias("c"), "rowid")).alias("b")).select("sample", F.col("b.rowid").alias("rowid"), (-F.col("b.c")).alias("cnt")), "SELECT sample, rowid, cnt FROM reads WHERE sample IS NOT NULL QUALIFY row_number() OVER (PARTITION BY sample ORDER BY cnt DESC, rowid) = 1")

@@ -13,10 +13,13 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors share, as the cluster names it in spark.checkpoint.dir.
 
-    Only where that setting is absent (tests, a single machine) a temporary folder is chosen and set.
+    Without that setting, a temporary folder is chosen and set if the master is local (tests, a single machine); on
+    a cluster, where executors don't see each other's disks, it is an error.
     """
     told = spark.conf.get("spark.checkpoint.dir", None)
     if not told:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         told = "file://" + tempfile.mkdtemp(prefix="seqloom-")
         spark.conf.set("spark.checkpoint.dir", told)
     return told.rstrip("/")
