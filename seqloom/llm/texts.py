@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
+import numpy as np
 import regex
 from pyspark.sql import SparkSession
 
@@ -63,6 +64,9 @@ _CODE = regex.compile(r"\[(?:img|code|url=[^\]]*)\][^\[]*\[/(?:img|code|url)\]|<
 _TAGS = regex.compile(r"\[/?[a-z*]+(?:=[^\]]*)?\]|</?[a-zA-Z!][^<>]{0,300}>", regex.I)
 _ENTITIES = regex.compile(r"&(?:#\d+|#x[0-9a-f]+|[a-z]+);?", regex.I)
 _LINKS = regex.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\S+")
+#: Stands for a letter that isn't the author's own.
+_GONE = "\0"
+_VISIBLE = regex.compile(r"\S")
 _BLOB = regex.compile(r"[A-Za-z0-9+/=_-]{45,}")
 
 
@@ -118,3 +122,37 @@ def own_text(text: str | None) -> str:
     text = _ENTITIES.sub(" ", text)
     text = _LINKS.sub(" ", text)
     return _BLOB.sub(" ", text).strip()
+
+
+def own_letters(text: str) -> np.ndarray:
+    """Whether each character of a text is a visible one of its author's own words, by the rules of own_text()."""
+    lines = text.replace("\r\n", " \n").replace("\r", "\n").replace("\u2028", "\n").replace("\x85", "\n").split("\n")
+    own = list(lines)
+    for k, line in enumerate(lines):
+        if _QUOTED.match(line) or (_WROTE.match(line) and k + 1 < len(lines) and _QUOTED.match(lines[k + 1])):
+            own[k] = _GONE * len(line)
+    text = "\n".join(own)
+    depth, opened_at, spans = 0, 0, []
+    for m in _BLOCKS.finditer(text):
+        if depth == 0:
+            opened_at = m.start()
+        depth = max(0, depth + (-1 if m.group().startswith(("[/", "</")) else 1))
+        if depth == 0:
+            spans.append((opened_at, m.end()))
+    if depth:
+        end = text.find("\n\n", opened_at)
+        spans.append((opened_at, len(text) if end < 0 else end))
+    for a, b in spans:
+        text = text[:a] + _VISIBLE.sub(_GONE, text[a:b]) + text[b:]
+    kept = len(without_signature(text.replace(_GONE, " ")).split("\n")) if text else 0
+    lines = text.split("\n")
+    dropped = [bool(_SENT.match(x)) for x in lines]
+    left = 0
+    for k, gone in enumerate(dropped):
+        left += not gone
+        if gone or left > kept:
+            lines[k] = _GONE * len(lines[k])
+    text = "\n".join(lines)
+    for pattern in (_CODE, _TAGS, _ENTITIES, _LINKS, _BLOB):
+        text = pattern.sub(lambda m: _GONE * len(m.group()), text)
+    return np.array([not (c == _GONE or c.isspace()) for c in text], bool)
