@@ -114,13 +114,13 @@ def wide_table(rows: DataFrame, types: DataFrame, missing: DataFrame, entity: st
     """
     listed = attribute_list(types)
     spine = rows.select(F.upper(trimmed(F.col(entity))).alias("entity")).where("entity <> ''").distinct()
-    cells = written(resolved(rows, listed, missing, entity, name, value, latest, row_id), "cells", ["attribute"])
+    best = F.max_by(F.struct("value", "row_id"), F.struct("latest", "row_id"))
+    one = resolved(rows, listed, missing, entity, name, value, latest, row_id).groupBy("entity", "attribute").agg(best.alias("best"))
+    cells = written(one.hint("rebalance", "attribute"), "cells", ["attribute"])  # few files an attribute, large attributes split
 
     def narrow(attribute: str, kind: str) -> DataFrame:
-        best = F.max_by(F.struct("value", "row_id"), F.struct("latest", "row_id"))
-        cell = cells.where(F.col("attribute") == attribute).groupBy("entity").agg(best.alias("best"))
         row = [F.col("best.row_id").alias(f"{attribute}__row")] if provenance else []
-        return cell.select("entity", typed(F.col("best.value"), kind).alias(attribute), *row)
+        return cells.where(F.col("attribute") == attribute).select("entity", typed(F.col("best.value"), kind).alias(attribute), *row)
 
     groups = []
     for k in range(0, len(listed), fan_in):
