@@ -12,9 +12,9 @@ the steps count as plain cuts of that edge. Pointer doubling squares the success
 rounds it jumps 2^k edges, and the boundaries reached from the start are doubled each round. So the
 greedy cuts of a contig of n boundaries take log2(n) array operations instead of a walk.
 
-Each contig's runs of N are found once, where its text is read; only they go to the runs of
-chopping. No contig is shuffled: the table of runs is broadcast if it is shown to be small, and
-joined by file name otherwise.
+Each contig's runs of N are found where its text is read, a contig at a time, so a contig must fit into a task. No
+contig is shuffled: the table of runs is broadcast if it is shown to be small, and joined by file
+name otherwise.
 
 Defined results: letters are A-Z in any case, nothing else counts; a null file name joins nothing; a
 null or empty text has no letters and gives no piece; a null limit or step is the default (100, 10);
@@ -25,14 +25,19 @@ rows of either table give repeated pieces; further columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seqloom.runtime import small_or_plain
 
 DEFAULT_LENGTH, DEFAULT_STEP = 100, 10
+#: Pieces sent in one batch.
+ROWS = 2000
 
 
 def runs_of_n(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -94,25 +99,36 @@ def pieces(genome: DataFrame, pars: DataFrame, file: str = "genome_fnp", chrom:
     """(pars_id, chrom, piece, start, end, at_n[, text]) of every contig longer than a run's limit.
 
     start and end count letters from 0, end exclusive; at_n tells whether the piece's end is inside a run of N.
+    With text, a contig's row meets the runs of its file and is cut where it is read; without, only its runs of N do.
     """
     runs = pars.where(F.col(file).isNotNull()).select(file, "pars_id", F.coalesce("window_length", F.lit(DEFAULT_LENGTH)).cast("bigint").alias("limit"), F.coalesce("window_step", F.lit(DEFAULT_STEP)).cast("bigint").alias("step"))
-    long = contig_runs(genome, file, chrom, seq).join(small_or_plain(runs), file).where("letters > limit")
-
-    @F.pandas_udf("array<struct<start: bigint, end: bigint, at_n: boolean>>")
-    def cut(letters: pd.Series, n_starts: pd.Series, n_ends: pd.Series, limit: pd.Series, step: pd.Series) -> pd.Series:
-        out = []
-        for size, a, b, most, by in zip(letters, n_starts, n_ends, limit, step, strict=True):
-            a, b = np.asarray(a, np.int64), np.asarray(b, np.int64)
-            ends, overlap = cuts(int(size), a, b, int(most), int(by))
-            begins = np.concatenate(([0], ends[:-1] - overlap))
-            run = np.searchsorted(a, ends, side="left") - 1
-            at_n = (run >= 0) & (ends <= (b[np.maximum(run, 0)] if len(b) else 0)) & (ends < size)
-            out.append([{"start": int(s), "end": int(e), "at_n": bool(n)} for s, e, n in zip(begins, ends, at_n, strict=True)])
-        return pd.Series(out)
-
-    found = long.select("pars_id", file, chrom, F.posexplode(cut("letters", "n_starts", "n_ends", "limit", "step")).alias("piece", "p"))
-    found = found.select("pars_id", file, chrom, "piece", "p.start", "p.end", "p.at_n")
-    if with_text:
-        texts = genome.where(F.col(file).isNotNull()).select(file, chrom, F.regexp_replace(seq, "[^A-Za-z]", "").alias("letters_"))
-        found = found.join(texts, [file, chrom]).withColumn("text", F.expr("substring(letters_, int(start + 1), int(end - start))")).drop("letters_")
-    return found.drop(file)
+    source = genome.where(F.col(file).isNotNull()).select(file, chrom, F.col(seq).alias("seq")) if with_text else contig_runs(genome, file, chrom, seq)
+    long = source.join(small_or_plain(runs), file).where(F.length("seq") > F.col("limit") if with_text else F.col("letters") > F.col("limit"))
+    what = ["seq"] if with_text else ["letters", "n_starts", "n_ends"]
+    names = ["pars_id", chrom, "piece", "start", "end", "at_n", *(["text"] if with_text else [])]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                run, name, most, by = (batch.column(c)[k].as_py() for c in range(4))
+                if with_text:
+                    text = only_letters(batch.column(4)[k].as_py())
+                    size, (a, b) = len(text), runs_of_n(text)
+                    if size <= most:
+                        continue
+                else:
+                    size, a, b = batch.column(4)[k].as_py(), *(batch.column(c)[k].values.to_numpy() for c in (5, 6))
+                ends, overlap = cuts(size, a, b, most, by)
+                begins = np.concatenate(([0], ends[:-1] - overlap))
+                at = np.searchsorted(a, ends, side="left") - 1
+                at_n = (at >= 0) & (ends <= (b[np.maximum(at, 0)] if len(b) else 0)) & (ends < size)
+                for first in range(0, len(ends), ROWS):
+                    x, y = begins[first : first + ROWS], ends[first : first + ROWS]
+                    n = len(x)
+                    columns = [pa.array([run] * n, pa.int64()), pa.array([name] * n, pa.string()), pa.array(np.arange(first, first + n, dtype=np.int32)), pa.array(x), pa.array(y), pa.array(at_n[first : first + ROWS])]
+                    if with_text:
+                        columns.append(pa.array([text[i:j].tobytes() for i, j in zip(x.tolist(), y.tolist(), strict=True)], pa.binary()).cast(pa.string()))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+
+    schema = f"pars_id bigint, `{chrom}` string, piece int, start bigint, `end` bigint, at_n boolean" + ", text string" * with_text
+    return long.select("pars_id", chrom, "limit", "step", *what).mapInArrow(cut, schema)

@@ -49,6 +49,8 @@ def test_pieces(spark):
     for key, limit, overlap in (((1, "a"), 6, 2), ((3, "e"), 100, 90), ((5, "a"), 4, 0)):
         own = sorted((r for r in rows if (r.pars_id, r.chrom) == key), key=lambda r: r.piece)
         assert own[0].start == 0 and all(len(r.text) == r.end - r.start <= limit for r in own) and all(a.end - b.start == overlap for a, b in zip(own, own[1:], strict=False))
+    twice = chop.pieces(genome.unionByName(genome), pars, with_text=True)
+    assert twice.count() == 2 * len(rows) == 2 * chop.pieces(genome, pars).count()
     assert chop.pieces(genome.limit(0), pars).count() == 0 and chop.pieces(genome, pars.limit(0)).count() == 0
 
 
