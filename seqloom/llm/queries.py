@@ -86,6 +86,12 @@ QUERIES = {q.__name__: q for q in (p1_found, p1_pieces, p3_found, p3_passages, p
 SQL = {
     "p1_found": """SELECT p.pars_id, g.chrom FROM chop_pars p JOIN genome g ON p.genome_fnp = g.genome_fnp
 WHERE length(regexp_replace(g.seq, '[^A-Za-z]', '', 'g')) > coalesce(p.window_length, 100)""",
+    "p1_pieces": """WITH RECURSIVE u AS (SELECT genome_fnp, chrom, s, upper(s) AS t, length(s) AS n FROM (SELECT genome_fnp, chrom, regexp_replace(seq, '[^A-Za-z]', '', 'g') AS s FROM genome WHERE genome_fnp IS NOT NULL AND seq IS NOT NULL)),
+nat AS (SELECT chrom, list(e ORDER BY e) AS nat FROM (SELECT chrom, t, unnest(range(1, n)) AS e FROM u) WHERE t[e] = 'N' AND (t[e + 1] = 'N' OR e = 1 OR t[e - 1] <> 'N') GROUP BY chrom),
+job AS (SELECT pars_id, chrom, s, n, coalesce(nat, []) AS nat, lim, least(greatest(0, lim - step), lim - 1) AS overlap FROM (SELECT pars_id, genome_fnp, coalesce(window_length, 100) AS raw, greatest(1, coalesce(window_length, 100)) AS lim, coalesce(window_step, 10) AS step FROM chop_pars) JOIN u USING (genome_fnp) LEFT JOIN nat USING (chrom) WHERE n > raw),
+cut AS (SELECT pars_id, chrom, 0 AS piece, 0::BIGINT AS st, CASE WHEN lim >= n THEN n ELSE coalesce(list_last(list_filter(nat, lambda x: x > overlap AND x <= lim)), lim) END AS en FROM job
+UNION ALL SELECT pars_id, chrom, piece + 1, en - overlap, CASE WHEN en - overlap + lim >= n THEN n ELSE coalesce(list_last(list_filter(nat, lambda x: x > en AND x <= en - overlap + lim)), en - overlap + lim) END FROM cut JOIN job USING (pars_id, chrom) WHERE en < n)
+SELECT pars_id, chrom, piece, st AS start, en AS "end", en < n AND upper(s[en]) = 'N' AS at_n, substr(s, st + 1, en - st) AS text FROM cut JOIN job USING (pars_id, chrom)""",
     "p3_found": r"""WITH recs AS (SELECT rowid, upper(regexp_replace(s, '[-\s]', '', 'g')) AS s FROM (SELECT rowid, seq AS s FROM seq_reads UNION ALL SELECT rowid, ref_seq FROM ref_seqs)),
 w AS (SELECT rowid, i, substr(s, i, 64) AS k FROM (SELECT rowid, s, unnest(range(1, length(s) - 62)) AS i FROM recs WHERE length(s) >= 64)),
 shared AS (SELECT k FROM w GROUP BY k HAVING count(DISTINCT rowid) > 1),
