@@ -10,6 +10,7 @@ Defined results: a null sequence gives nulls; an empty one aligns to gaps only,
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,9 +21,7 @@ RESULT = "struct<score: int, a: string, b: string, matches: int, mismatches: int
 
 
 def aligned_pair(a: str, b: str, match: int = 2, mismatch: int = -2, open_: int = 5, extend: int = 1, free_ends: bool = True) -> tuple[int, str, str]:
-    """Score and both aligned strings. Rows of the matrix are array operations but for the gap that runs along them."""
-    import numpy as np
-
+    """Score and both aligned strings of one pair: the plain form of aligned_rows()."""
     n, m = len(a), len(b)
     x, y = np.frombuffer(a.encode("utf-32-le"), np.uint32), np.frombuffer(b.encode("utf-32-le"), np.uint32)
     low = -(10**8)
@@ -111,9 +110,132 @@ def measured(a: str | None, b: str | None) -> dict | None:
     return {"score": score, "a": x, "b": y, "matches": matches, "mismatches": mismatches, "small_indels": small, "large_indels": large, "identity": matches / size if size else None}
 
 
+MEASURES = ["score", "a", "b", "matches", "mismatches", "small_indels", "large_indels", "identity"]
+#: Cells of the matrices that one call fills; pairs of like size are aligned together.
+CELLS = 12_000_000
+
+
+def padded(texts: list[str], fill: int) -> np.ndarray:
+    """Code points of texts as rows."""
+    out = np.full((len(texts), max(map(len, texts), default=0)), fill, np.uint32)
+    for k, t in enumerate(texts):
+        out[k, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return out
+
+
+def filled(x: np.ndarray, y: np.ndarray, n: np.ndarray, m: np.ndarray, match: int = 2, mismatch: int = -2, open_: int = 5, extend: int = 1) -> tuple[np.ndarray, ...]:
+    """aligned_pair()'s matrices with free ends for many pairs at once: (score, end in x, end in y, steps), where a step
+    holds where a cell came from (0, 1, 2), whether a gap upwards goes on (4) and one to the left (8)."""
+    rows, wide = len(x), y.shape[1]
+    low, columns = np.int32(-(10**8)), np.arange(wide + 1, dtype=np.int32)
+    best, down = np.zeros((rows, wide + 1), np.int32), np.full((rows, wide + 1), low)
+    steps = np.zeros((x.shape[1] + 1, rows, wide + 1), np.int8)
+    steps[0, :, 1:], steps[0, :, 2:] = 2, 2 | 8
+    every = np.arange(rows)
+    side, side_at = np.zeros(rows, np.int32), np.zeros(rows, np.int64)
+    bottom, bottom_at = np.zeros(rows, np.int32), np.zeros(rows, np.int64)
+    outside = columns > m[:, None]
+    for i in range(1, x.shape[1] + 1):
+        opened = best - open_
+        longer = down - extend > opened
+        down = np.maximum(down - extend, opened)
+        diagonal = best[:, :-1] + np.where(y == x[:, i - 1 : i], np.int32(match), np.int32(mismatch))
+        row = np.empty_like(best)
+        row[:, 0] = 0
+        np.maximum(diagonal, down[:, 1:], out=row[:, 1:])
+        lead = np.maximum.accumulate(row - open_ + extend * (columns + 1), axis=1)
+        left = np.full_like(best, low)
+        left[:, 1:] = lead[:, :-1] - extend * columns[1:]
+        best = np.maximum(row, left)
+        step = steps[i]
+        step[:, 1:] = np.where(best[:, 1:] == diagonal, 0, np.where(best[:, 1:] == down[:, 1:], 1, 2))
+        step[:, 0] = 1
+        step |= longer.astype(np.int8) << 2
+        step[:, 2:] |= (left[:, 1:-1] - extend == left[:, 2:]).astype(np.int8) << 3
+        inside = i <= n
+        at = best[every, m]
+        better = inside & (at > side)
+        side[better], side_at[better] = at[better], i
+        last = np.flatnonzero(i == n)
+        if len(last):
+            ends = np.where(outside[last], low, best[last])
+            bottom_at[last] = ends.argmax(axis=1)
+            bottom[last] = ends[np.arange(len(last)), bottom_at[last]]
+    to_side = side > bottom
+    empty = (n == 0) | (m == 0)
+    i, j = np.where(to_side & ~empty, side_at, n), np.where(to_side | empty, m, bottom_at)
+    return np.where(empty, 0, np.where(to_side, side, bottom)), i, j, steps
+
+
+def aligned_rows(a: list[str], b: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(score, size, both aligned sequences as rows of code points) of pairs, as aligned_pair() gives them."""
+    n, m = (np.array([len(t) for t in texts], np.int64) for texts in (a, b))
+    x, y = padded(a, 0), padded(b, 1)
+    score, i, j, steps = filled(x, y, n, m)
+    rows, width = len(a), int((n + m).max(initial=0))
+    out = np.full((2, rows, width), ord("-"), np.uint32)
+    tail_x, tail_y = n - i, m - j  # at most one of them is positive
+    size = tail_x + tail_y
+    for r in np.flatnonzero(tail_x):
+        out[0, r, : tail_x[r]] = x[r, i[r] : n[r]][::-1]
+    for r in np.flatnonzero(tail_y):
+        out[1, r, : tail_y[r]] = y[r, j[r] : m[r]][::-1]
+    i, j, state = i.copy(), j.copy(), np.zeros(rows, np.int8)
+    r = np.flatnonzero((i > 0) | (j > 0))
+    while len(r):
+        here = steps[i[r], r, j[r]]
+        kind = np.where(i[r] == 0, 2, np.where(j[r] == 0, 1, np.where(state[r] > 0, state[r], here & 3)))
+        edge = (i[r] == 0) | (j[r] == 0)
+        up, left = kind != 2, kind != 1
+        out[0, r[up], size[r[up]]] = x[r[up], i[r[up]] - 1]
+        out[1, r[left], size[r[left]]] = y[r[left], j[r[left]] - 1]
+        before = steps[i[r], r, np.maximum(j[r] - 1, 0)] & 3
+        state[r] = np.where(edge, state[r], np.where(kind == 1, np.where(here & 4, 1, 0), np.where((kind == 2) & (here & 8 > 0) & (before != 0), 2, 0)))
+        i[r] -= up
+        j[r] -= left
+        size[r] += 1
+        r = r[(i[r] > 0) | (j[r] > 0)]
+    at = size[:, None] - 1 - np.arange(width)
+    turned = np.where(at >= 0, out[:, np.arange(rows)[:, None], np.maximum(at, 0)], 0)
+    return score, size, turned[0], turned[1]
+
+
+def measured_rows(size: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(matches, mismatches, small indels, large indels, overlap) of aligned rows, as measured() counts them."""
+    columns = np.arange(x.shape[1])
+    real = columns < size[:, None]
+    gap_x, gap_y = (x == ord("-")) & real, (y == ord("-")) & real
+    first = np.maximum(*(np.where((real & ~g).any(axis=1), (real & ~g).argmax(axis=1), size) for g in (gap_x, gap_y)))
+    last = np.minimum(*(np.where((real & ~g).any(axis=1), x.shape[1] - (real & ~g)[:, ::-1].argmax(axis=1), 0) for g in (gap_x, gap_y)))
+    inside = (columns >= first[:, None]) & (columns < last[:, None])
+    both = inside & ~gap_x & ~gap_y
+    matches = (both & (x == y)).sum(axis=1)
+    kind = np.zeros((len(x), x.shape[1] + 2), np.int8)
+    kind[:, 1:-1] = np.where(inside & gap_x, 1, np.where(inside & gap_y, 2, 0))
+    row, at = np.nonzero(kind[:, 1:] != kind[:, :-1])
+    starts = kind[row, at + 1] > 0
+    long = np.zeros(len(row), bool)
+    long[:-1] = np.diff(at) > 2
+    return matches, both.sum(axis=1) - matches, np.bincount(row[starts & ~long], minlength=len(x)), np.bincount(row[starts & long], minlength=len(x)), np.maximum(0, last - first)
+
+
 def _align_series(a: pd.Series, b: pd.Series) -> pd.DataFrame:
-    rows = [measured(x, y) or dict.fromkeys(("score", "a", "b", "matches", "mismatches", "small_indels", "large_indels", "identity")) for x, y in zip(a, b, strict=True)]
-    return pd.DataFrame(rows, columns=["score", "a", "b", "matches", "mismatches", "small_indels", "large_indels", "identity"])
+    out: list[tuple | None] = [None] * len(a)
+    ok = sorted((k for k, (x, y) in enumerate(zip(a, b, strict=True)) if x is not None and y is not None), key=lambda k: (len(a.iloc[k]), len(b.iloc[k])))
+    at = 0
+    while at < len(ok):
+        cells, upto, wide = 0, at, 0
+        while upto < len(ok) and (upto == at or cells <= CELLS):
+            wide = max(wide, len(b.iloc[ok[upto]]) + 1)
+            upto += 1
+            cells = (upto - at) * (len(a.iloc[ok[upto - 1]]) + 1) * wide
+        pick = ok[at:upto]
+        score, size, x, y = aligned_rows([a.iloc[k] for k in pick], [b.iloc[k] for k in pick])
+        counts = np.column_stack(measured_rows(size, x, y))
+        for k, s, width, p, q, c in zip(pick, score.tolist(), size.tolist(), x, y, counts.tolist(), strict=True):
+            out[k] = (s, *(t[:width].tobytes().decode("utf-32-le", "surrogatepass") for t in (p, q)), *c[:4], c[0] / c[4] if c[4] else None)
+        at = upto
+    return pd.DataFrame([row or (None,) * len(MEASURES) for row in out], columns=MEASURES)
 
 
 def alignment(a: Column, b: Column) -> Column:
@@ -160,14 +282,27 @@ def best_matches(reads: DataFrame, refs: DataFrame, k: int = 12, least: float =
     return ranked.withColumn("weight", 1 / F.col("_n") if ties == "split" else F.lit(1.0)).drop("_n")
 
 
+def _different(a: pd.Series, b: pd.Series) -> pd.Series:
+    out = []
+    for x, y in zip(a, b, strict=True):
+        if x is None or y is None:
+            out.append([])
+            continue
+        p, q = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (x, y))
+        gap_p, gap_q = p == ord("-"), q == ord("-")
+        first = max(len(t) - len(t.lstrip("-")) for t in (x, y))
+        last = min(len(t.rstrip("-")) for t in (x, y))
+        at = np.flatnonzero(p != q)
+        at = at[(at >= first) & (at < last)]
+        position = (np.cumsum(~gap_q) - ~gap_q)[at]
+        out.append([{"position": int(k), "kind": "deletion" if gap_p[i] else "insertion" if gap_q[i] else "mismatch", "base_a": x[i], "base_b": y[i]} for i, k in zip(at.tolist(), position.tolist(), strict=True)])
+    return pd.Series(out)
+
+
 def differences(pairs: DataFrame) -> DataFrame:
     """(id_a, id_b, position, kind, base_a, base_b): mismatches and gap letters inside the overlap; position on b from 0."""
-    cells = F.arrays_zip(F.split("aln.a", "").alias("x"), F.split("aln.b", "").alias("y"))
-    rows = pairs.select("id_a", "id_b", F.posexplode(cells).alias("column", "c"), F.length(F.regexp_extract("aln.a", "^-*", 0)).alias("la"), F.length(F.regexp_extract("aln.b", "^-*", 0)).alias("lb"), F.length(F.regexp_replace("aln.a", "-+$", "")).alias("ra"), F.length(F.regexp_replace("aln.b", "-+$", "")).alias("rb"), "aln.b")
-    inside = rows.where((F.col("column") >= F.greatest("la", "lb")) & (F.col("column") < F.least("ra", "rb")) & (F.col("c.x") != F.col("c.y")))
-    position = F.length(F.regexp_replace(F.expr("substring(b, 1, column)"), "-", ""))
-    kind = F.when(F.col("c.x") == "-", "deletion").when(F.col("c.y") == "-", "insertion").otherwise("mismatch")
-    return inside.select("id_a", "id_b", position.alias("position"), kind.alias("kind"), F.col("c.x").alias("base_a"), F.col("c.y").alias("base_b"))
+    found = F.pandas_udf(_different, "array<struct<position: int, kind: string, base_a: string, base_b: string>>")
+    return pairs.select("id_a", "id_b", F.inline(found("aln.a", "aln.b")))
 
 
 def trimmed_to_reference(reads: DataFrame, reference: DataFrame, start: int | None = None, end: int | None = None, k: int = 12, key: str = "rowid") -> DataFrame:

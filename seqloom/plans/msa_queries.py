@@ -69,3 +69,6 @@ add("non_unique_arms", lambda s, d: regions(s, d).groupBy("name", "strand").agg(
 add("stitch_pairs", lambda s, d: A.stitched(reads(s, d).where("length(seq) >= 60").select("rowid", F.expr("substring(seq, 1, length(seq) - 20)").alias("r1"), F.expr("substring(seq, 26)").alias("r2")), 15, 0.0).select("rowid", "seq", "status"))
 add("kmer_counts_in_both", lambda s, d: K.counts_in_both(reads(s, d), refs(s, d), 9), ", a AS (SELECT substr(seq, i, 9) AS kmer, count(*) AS n FROM (SELECT seq, unnest(range(1, length(seq) - 7)) AS i FROM reads WHERE length(seq) >= 9) GROUP BY 1), b AS (SELECT substr(seq, i, 9) AS kmer, count(*) AS n FROM (SELECT seq, unnest(range(1, length(seq) - 7)) AS i FROM refs WHERE length(seq) >= 9) GROUP BY 1) SELECT coalesce(a.kmer, b.kmer) AS kmer, coalesce(a.n, 0) AS in_reads, coalesce(b.n, 0) AS in_regions FROM a FULL JOIN b ON a.kmer = b.kmer", f"{READS}, {REFS}")
 add("transcript_positions", lambda s, d: G.position_table(features(s, d).withColumn("strand", F.lit("+"))), ", p AS (SELECT DISTINCT parent, seqid AS chrom, \"start\" - 1 AS a, \"end\" AS b FROM feat WHERE type = 'CDS'), q AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY parent ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bef FROM p) SELECT parent, bef + k AS cdna_pos, chrom, a + k AS pos, '+' AS strand FROM (SELECT *, unnest(range(0, b - a)) AS k FROM q)", FEATURES)
+add("called_variants", lambda s, d: A.called_variants(reads(s, d), refs(s, d), 2.0, 0.005, k=16))
+add("call_variants_by_sample", lambda s, d: A.called_variants(reads(s, d).where("sample is not null"), refs(s, d), 2.0, 0.005, "sample", k=16))
+add("called_variants_in_region", lambda s, d: A.called_variants(reads(s, d), refs(s, d), 2.0, 0.005, k=16).where("position >= 20 and position < 120"))
