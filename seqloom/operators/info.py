@@ -204,3 +204,19 @@ def pairwise_differentiation(haps: DataFrame, pop: str, true_factor: bool = True
     pairs = pops.join(F.broadcast(pops.withColumnRenamed("x", "y")), F.col("x") < F.col("y"))
     sides = pairs.select(F.col("x").alias("pop_a"), F.col("y").alias("pop_b"), F.explode(F.array("x", "y")).alias("pop"))
     return _measures(freq.join(F.broadcast(sides), "pop"), ["pop_a", "pop_b"], true_factor)
+
+
+def top_haplotypes(df: DataFrame, by: list[str]) -> DataFrame:
+    """(…, seq, fraction): each group's most frequent sequence (the least on ties) and its share."""
+    best = F.min(F.struct((-F.col("fraction")).alias("f"), "seq"))
+    return haplotypes(df, by).groupBy(*by).agg(best.alias("b")).select(*by, "b.seq", (-F.col("b.f")).alias("fraction"))
+
+
+def counts_by_name_part(df: DataFrame, separator: str, part: int) -> DataFrame:
+    """(part, n): reads by a part of their names, as of runs and wells; parts count from 1."""
+    return df.where("name is not null").groupBy(F.split_part(F.col("name"), F.lit(separator), F.lit(part)).alias("part")).agg(F.count("*").alias("n"))
+
+
+def strand_biased(df: DataFrame, forward: str, complement: str, repeated: str, bias: float = 0.75, least: float = 0.2) -> DataFrame:
+    """Rows whose shares on the two strands differ by more than the bias and that enough repeats hold."""
+    return df.where((F.abs(F.col(forward) - F.col(complement)) > bias) & (F.col(repeated) > least))

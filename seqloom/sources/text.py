@@ -219,3 +219,23 @@ def write_vcf(variants: DataFrame, path: str) -> None:
     rows = variants.select(F.lit(1).alias("o"), "chrom", "pos", row.alias("value"))
     head = variants.sparkSession.createDataFrame([(0, "", k, line) for k, line in enumerate(VCF_HEAD)], "o int, chrom string, pos long, value string")
     head.unionByName(rows).orderBy("o", "chrom", "pos", "value").coalesce(1).select("value").write.text(path)
+
+
+def read_named_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(rowid, name, seq) of lines 'name sequence', separated by white space; a line of one word has no name."""
+    words = F.split(F.trim("value"), r"\s+")
+    rows = _lines(spark, path).where(F.trim("value") != "").select("rowid", words.alias("w"))
+    return rows.select("rowid", F.when(F.size("w") > 1, F.col("w")[0]).alias("name"), F.element_at("w", -1).alias("seq"))
+
+
+def write_named_lines(df: DataFrame, path: str, name_after: bool = False) -> None:
+    """Sequences as lines with their names before or after them."""
+    columns = ["seq", "name"] if name_after else ["name", "seq"]
+    df.where("seq is not null").select(F.concat_ws(" ", *columns)).write.text(path)
+
+
+def read_interleaved(spark: SparkSession, path: str) -> DataFrame:
+    """(name, seq) of lines 'name part' whose parts follow each other over the file, points taken out."""
+    rows = read_named_lines(spark, path).where("name is not null")
+    parts = rows.groupBy("name").agg(F.array_sort(F.collect_list(F.struct("rowid", "seq"))).alias("p"))
+    return parts.select("name", F.regexp_replace(F.array_join(F.transform("p", lambda x: x["seq"]), ""), r"\.", "").alias("seq"))

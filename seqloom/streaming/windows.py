@@ -20,3 +20,17 @@ def windowed(df: DataFrame, time: str, keys: list[str], value: str, late: str =
 def deduplicated(df: DataFrame, key: str, time: str, late: str = "1 hour") -> DataFrame:
     """First arrival of each key within the watermark, with bounded state."""
     return df.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
+
+
+def run_to_end(df: DataFrame, path: str, state: str) -> None:
+    """Run an aggregating stream over all that has arrived; path then holds its whole result. State and result lie in the shared folder."""
+
+    def keep(batch: DataFrame, _: int) -> None:
+        batch.write.mode("overwrite").parquet(path)
+
+    df.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def closed_windows(df: DataFrame, path: str, state: str) -> None:
+    """Append a stream's windows to path as the watermark passes them; rows later than it are left out."""
+    df.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

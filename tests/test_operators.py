@@ -1,10 +1,12 @@
 import random
 
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from seqloom import runtime
 from seqloom.functions import sequence as S
 from seqloom.operators import align as A
 from seqloom.operators import features as G
@@ -15,7 +17,9 @@ from seqloom.operators import meta as M
 from seqloom.operators import networks as N
 from seqloom.operators import pileup as P
 from seqloom.operators import reads as R
+from seqloom.operators import search
 from seqloom.operators import simulate as X
+from seqloom.streaming import windows
 
 SEQS = ["ACGTACGTNN", "", None, "AAAAAA", "acgt-", "GATTACA", "GATTACA", "A"]
 
@@ -215,3 +219,103 @@ def test_called_variants(spark):
     reads = spark.createDataFrame([(1, ref, 6.0), (2, snp, 3.0), (3, gap, 1.0), (4, snp, 1.0), (5, None, 9.0)], "rowid long, seq string, cnt double")
     found = A.called_variants(reads, spark.createDataFrame([(0, ref)], "rowid long, seq string"), 2.0, 0.1, k=8).collect()
     assert [(r.position, r.kind, r.base_a, r.base_b, r.n) for r in found] == [(15, "mismatch", "T", ref[15], 4.0)] and found[0].fraction == pytest.approx(4 / 11)
+
+
+def semi_global_score(text, target):
+    """Best score of the whole target in any part of the text, letter by letter."""
+    low = -(10**9)
+    best, down = [0] * (len(text) + 1), [low] * (len(text) + 1)
+    for letter in target:
+        row, below, along = [], [], low
+        for j in range(len(text) + 1):
+            below.append(max(down[j] - 1, best[j] - 5))
+            step = best[j - 1] + (2 if text[j - 1] == letter else -2) if j else low
+            base = max(step, below[j])
+            row.append(max(base, along))
+            along = max(along - 1, base - 5)
+        best, down = row, below
+    return max(best)
+
+
+def test_places_of_a_target():
+    rng = random.Random(5)
+    for _ in range(200):
+        target, text = ("".join(rng.choices("ACGT", k=rng.randrange(1, n))) for n in (12, 40))
+        if rng.random() < 0.6:
+            own = list(target)
+            own[2:3] = rng.choice(["", "A", "CC"])
+            text = text[:9] + "".join(own) + text[9:]
+        score, start, end, matches, columns = search.places_in([text], target)[0]
+        assert score == semi_global_score(text, target) and 0 <= start <= end <= len(text) and matches <= min(len(target), end - start) and columns >= max(len(target), end - start)
+        assert matches < len(target) or columns > matches or text[start:end] == target
+    assert search.places_in(["TTTACGTTT", ""], "ACG") == [(6, 3, 6, 3, 3), None]
+
+
+def test_cuts_at_targets(spark):
+    front, back = "ACGTTGCAAT", "GGCATCATTC"
+    rows = [(1, "TT" + front + "CCCC" + back + "A"), (2, "TT" + front[:4] + "A" + front[5:] + "CCCC"), (3, "T" * 30), (4, None), (5, ""), (6, back + "CC" + front)]
+    df = spark.createDataFrame(rows, "rowid long, seq string")
+    take = lambda t: {r.rowid: (r.on, r.seq) for r in t.collect()}
+    assert take(search.trimmed_between(df, front, back, keep=False)) == {1: (True, "CCCC"), **{k: (False, s) for k, s in rows[1:]}}
+    before, upto = take(search.trimmed_before(df, front, keep=False)), take(search.trimmed_from(df, front))
+    assert before[1] == (True, "CCCC" + back + "A") and before[2] == (True, "CCCC") and before[3] == (False, "T" * 30) and before[4] == (False, None) and upto[1] == (True, "TT" + front)
+    turned = df.withColumn("seq", F.when(F.col("rowid") == 1, S.reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
+    found = {r.rowid: (r.start, r.end, r.reverse) for r in search.holding(turned, front, 0.8, 0.8, both_strands=True).collect()}
+    assert found == {1: (15, 25, True), 2: (2, 12, False), 6: (12, 22, False)}
+    assert search.located(df.limit(0), front).count() == 0
+
+
+def test_rows_align_as_pairs():
+    rng = random.Random(3)
+    pairs = [(None, "A"), ("", ""), ("", "AC"), ("AC", ""), ("éé", "aéé")]
+    for _ in range(150):
+        a = "".join(rng.choices("ACGT", k=rng.choice([1, 2, 5, 30, 60])))
+        b = list(a)
+        for _ in range(rng.randrange(5)):
+            p = rng.randrange(len(b) + 1)
+            b[p : p + rng.choice([0, 1, 3])] = rng.choice(["", "A", "GG", "TTT"])
+        pairs.append((a, "".join(b) if rng.random() < 0.8 else "".join(rng.choices("ACGT", k=20))))
+    rows = A._align_series(*(pd.Series(c) for c in zip(*pairs, strict=True)))
+    for (a, b), (_, row) in zip(pairs, rows.iterrows(), strict=True):
+        plain = A.measured(a, b)
+        if plain is None:
+            assert row["a"] is None
+        else:
+            assert {k: row[k] for k in A.MEASURES[:-1]} == {k: plain[k] for k in A.MEASURES[:-1]} and (row["identity"] == plain["identity"] or plain["identity"] is None)
+
+
+def test_best_references_by_join_and_by_broadcast(spark, monkeypatch):
+    rng = random.Random(4)
+    refs = [(k, "".join(rng.choices("ACGT", k=60))) for k in range(5)] + [(7, None), (8, "AC")]
+    reads = [(100 + k, refs[k % 5][1][k : 40 + k]) for k in range(12)] + [(200, None), (201, "ACG"), (202, refs[0][1]), (202, refs[0][1])]
+    a, b = (spark.createDataFrame(t, "rowid long, seq string") for t in (reads, refs))
+    take = lambda: sorted(tuple(r) for t in (K.best_reference(a, b, 8), K.best_reference(a, b, 8, ties=True)) for r in t.collect() if r.id < 202)
+    fast = take()
+    monkeypatch.setattr(K, "sent_references", lambda *_: None)
+    assert take() == fast and len(fast) > 12
+    assert K.best_reference(a.limit(0), b, 8).count() == 0 and K.best_reference(a, b.limit(0), 8).where("ref_id is null").count() == len(reads)
+
+
+def test_stream_leaves_out_late_rows(spark, tmp_path):
+    arrivals = [(1, "2024-01-01 10:05:00"), (2, "2024-01-01 15:00:00")], [(4, "2024-01-01 20:00:00")], [(3, "2024-01-01 10:06:00"), (5, "2024-01-01 23:00:00")]
+    for k, rows in enumerate(arrivals):
+        t = spark.createDataFrame(rows, "id long, ts string").selectExpr("id", "cast(ts as timestamp) as ts", "1.0 as value")
+        t.coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = windows.read_stream(spark, str(tmp_path / "in/*"), "id bigint, ts timestamp, value decimal(2,1)", 1)
+    windows.closed_windows(windows.windowed(stream, "ts", [], "value", size="1 hour"), str(tmp_path / "out"), str(tmp_path / "state"))
+    closed = sorted((r.start.hour, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert (10, 1) in closed and (10, 2) not in closed  # row 3 came after the watermark had passed its window
+    windows.run_to_end(windows.windowed(stream, "ts", [], "value", size="1 hour"), str(tmp_path / "all"), str(tmp_path / "state2"))
+    assert sum(r.n for r in spark.read.parquet(str(tmp_path / "all")).collect()) == 5
+
+
+def test_shared_folder_is_told_on_clusters():
+    class Context:
+        master = "spark://somewhere:7077"
+
+    class Session:
+        conf = type("Conf", (), {"get": staticmethod(lambda name, default=None: default)})
+        sparkContext = Context
+
+    with pytest.raises(ValueError):
+        runtime.shared_dir(Session)
