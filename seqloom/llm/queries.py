@@ -103,5 +103,11 @@ counts AS (SELECT rowid, n, k, count(*) AS c FROM grams GROUP BY ALL)
 SELECT a.rowid AS rowid_a, b.rowid AS rowid_b FROM counts a JOIN counts b ON a.k = b.k AND a.rowid < b.rowid
 GROUP BY a.rowid, b.rowid, a.n, b.n HAVING 10 * sum(least(a.c, b.c)) >= 7 * greatest(a.n, b.n)""",
     "p7_broken": "SELECT spec_id, CAST(NULL AS BIGINT) AS container FROM pack_specs WHERE false",
+    "p4_groups": r"""WITH RECURSIVE recs AS (SELECT rowid, s, min(rowid) OVER (PARTITION BY s) AS rep, length(s) - 9 AS n FROM (SELECT rowid, upper(regexp_replace(s, '[-\s]', '', 'g')) AS s FROM (SELECT rowid, seq AS s FROM seq_reads UNION ALL SELECT rowid, seq FROM mutants)) WHERE length(s) >= 10),
+counts AS (SELECT rowid, n, k, count(*) AS c FROM (SELECT rowid, n, substr(s, unnest(range(1, n + 1)), 10) AS k FROM recs WHERE rowid = rep) GROUP BY ALL),
+link AS (SELECT a.rowid AS a, b.rowid AS b FROM counts a JOIN counts b ON a.k = b.k AND a.rowid <> b.rowid GROUP BY a.rowid, b.rowid, a.n, b.n HAVING 10 * sum(least(a.c, b.c)) >= 7 * greatest(a.n, b.n)),
+reach AS (SELECT rowid AS node, rowid AS other FROM recs WHERE rowid = rep UNION SELECT reach.node, link.b FROM reach JOIN link ON link.a = reach.other),
+part AS (SELECT node, min(other) AS group_id FROM reach GROUP BY node)
+SELECT rowid, group_id, (SELECT count(*) FROM link WHERE link.a = rep) AS links FROM recs JOIN part ON node = rep""",
     "p6_round_trip": "SELECT doc_id FROM documents WHERE false",
 }
