@@ -9,9 +9,10 @@ of all windows. There, windows of seeds that several records hold are compared b
 come back as intervals, and a record's intervals are united. No pair of records is formed, so a span
 that a third of all records share costs as much as any other.
 
-Seeds that a sample shows to be hot (more than 1 of 500 records) go another way, which depends on no
+Seeds that a sample shows to be hot (HOT records or more) go another way, which depends on no
 group's size: their windows are counted by hash with partial aggregation (least and greatest record),
-and the shared ones are joined back under a salt. The sample only chooses the way, not the result.
+and the shared ones are joined back under a salt. The sample only chooses the way, not the result; at most
+MOST_HOT seeds, the most frequent ones, are sent along.
 
 Chaining gives pairs of passages with gaps, not the exact coverage, and needs pairs; so it is a second
 operator, passages(), for the records with an id divisible by 50 against all: shared seeds are joined,
@@ -39,7 +40,7 @@ _CODE = np.full(256, 4, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     _CODE[_c] = _i
 _BACK = np.frombuffer(b"ACGT", np.uint8)
-HOT_SHARE, SAMPLE = 1 / 500, 0.01
+HOT, SAMPLE, MOST_HOT = 2_000, 0.01, 1_000_000
 
 
 def units(codes: np.ndarray, offsets: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,8 +125,9 @@ def shared_intervals(rowid: np.ndarray, start: np.ndarray, count: np.ndarray, bl
     return rowid[row], start[row] + a, start[row] + b + least - 1
 
 
-def seeds(records: DataFrame, least: int, with_letters: bool = True) -> DataFrame:
-    """(seed, rowid, start, windows, letters) of every unit of records (rowid, seq)."""
+def seeds(records: DataFrame, least: int, with_letters: bool = True, hot=None, wanted: bool = False) -> DataFrame:
+    """(seed, rowid, start, windows, letters) of every unit of records (rowid, seq), or with hot (a broadcast of seeds in
+    order) of those whose seed is one of them, or isn't, as wanted."""
 
     def make(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -134,6 +136,9 @@ def seeds(records: DataFrame, least: int, with_letters: bool = True) -> DataFram
                 ids = some.column(0).to_numpy(zero_copy_only=False)
                 codes, offsets = joined(some.column(1))
                 record, seed, start, count, base = units(codes, offsets, least)
+                if hot is not None and len(hot.value):
+                    is_hot = hot.value[np.minimum(np.searchsorted(hot.value, seed), len(hot.value) - 1)] == seed
+                    record, seed, start, count, base = (x[is_hot == wanted] for x in (record, seed, start, count, base))
                 if not len(seed):
                     continue
                 columns = [pa.array(seed.view(np.int64)), pa.array(ids[record].astype(np.int64))]
@@ -145,13 +150,12 @@ def seeds(records: DataFrame, least: int, with_letters: bool = True) -> DataFram
     return records.where("rowid is not null and seq is not null").select("rowid", "seq").mapInArrow(make, schema)
 
 
-def hot_seeds(records: DataFrame, least: int, share: float = HOT_SHARE, floor: int = 200) -> list[int]:
-    """Seeds that more than about this share of records hold, told from a sample; at most a few thousand, as a record has few seeds."""
+def hot_seeds(records: DataFrame, least: int) -> np.ndarray:
+    """Seeds that about HOT records or more hold, told from a sample, in order."""
     some = records.sample(fraction=SAMPLE, seed=11)
     counts = seeds(some, least, with_letters=False).distinct().groupBy("seed").count()
-    top = counts.where(F.col("count") >= floor * SAMPLE * 10).orderBy(F.desc("count")).limit(4096).collect()
-    n = some.count() if top else 0
-    return [r["seed"] for r in top if r["count"] >= max(20, share * n)]
+    top = counts.where(F.col("count") >= HOT * SAMPLE).orderBy(F.desc("count"), "seed").limit(MOST_HOT).toArrow()
+    return np.sort(top.column(0).to_numpy().view(np.uint64))
 
 
 def by_seed(found: DataFrame, least: int, parts: int, rows_at_once: int = 30_000) -> DataFrame:
@@ -224,8 +228,7 @@ def shared_spans(records: DataFrame, least: int = 64, rows_per_task: int = 250_0
     size = records.agg(F.sum(F.length("seq"))).first()[0] or 0
     parts = max(8, int(size * 2 / (least - K + 2) / rows_per_task) + 1)
     hot = hot_seeds(records, least)
-    found = seeds(records, least)
-    if not hot:
-        return united(by_seed(found, least, parts))
-    is_hot = F.col("seed").isin(hot)
-    return united(by_seed(found.where(~is_hot), least, parts).unionByName(by_window(found.where(is_hot), least)))
+    if not len(hot):
+        return united(by_seed(seeds(records, least), least, parts))
+    sent = records.sparkSession.sparkContext.broadcast(hot)
+    return united(by_seed(seeds(records, least, hot=sent), least, parts).unionByName(by_window(seeds(records, least, hot=sent, wanted=True), least)))

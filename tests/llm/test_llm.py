@@ -94,7 +94,7 @@ def test_shared_spans(spark, monkeypatch, hot):
     df = spark.createDataFrame(rows, "rowid long, seq string")
     if hot:
         every = [r[0] for r in spans.seeds(df, 64, False).select("seed").distinct().collect()]
-        monkeypatch.setattr(spans, "hot_seeds", lambda *_: every[::2])
+        monkeypatch.setattr(spans, "hot_seeds", lambda *_: np.sort(np.array(every[::2], np.int64).view(np.uint64)))
     assert {r.rowid: r.shared_letters for r in spans.shared_spans(df).collect()} == brute_spans(rows)
     assert spans.shared_spans(df.limit(0)).count() == 0
 
