@@ -73,7 +73,8 @@ def projected(df: DataFrame, doc: str = "doc", doc_id: str = "raw_id", members:
     """doc_id and one array column per target table, each element with its ancestors' positions and, on request, its members."""
     df.sparkSession.conf.set("spark.sql.variant.allowDuplicateKeys", "true")  # of equal members the last counts, as in other readers
     texts = df.select(F.col(doc_id), F.col(doc).alias("doc")).where("doc is not null")
-    whole = opened(texts).where("json is not null")
+    # the explode of one element keeps the parsed value from being put into each place that reads it, and parsed there again
+    whole = opened(texts).select(doc_id, F.explode(F.array("json")).alias("json")).where("json is not null")
     samples = whole.select(doc_id, objects(F.col("json"), "$.BioSampleSet.BioSample").alias("samples"))
 
     def children(path: str, wanted: dict[str, str], keep: bool) -> Column:
