@@ -13,6 +13,8 @@ intervals; the other side's columns get a suffix, so that names don't clash.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,9 +47,10 @@ def overlapping(a: DataFrame, b: DataFrame, least: int = 1, width: int = BIN, ho
     if how == "inner":
         on = on & (F.col("_bin") == F.greatest("_first", f"_first{suffix}"))
         return left.join(right, on).withColumn("shared", shared).drop("_bin", "_first", f"_bin{suffix}", f"_first{suffix}")
-    keyed = a.withColumn("_id", F.xxhash64(*[F.col(f"`{c}`") for c in a.columns if c != "meta"]))
-    hits = _binned(keyed, width).join(right, on).select("_id").distinct()
-    return keyed.join(hits, "_id", how).drop("_id")
+    own = [c for c, kind in a.dtypes if "map<" not in kind]  # rows equal in these overlap the same
+    hits = left.join(right, on).select(*[F.col(f"`{c}`").alias(f"_h{k}") for k, c in enumerate(own)]).distinct()
+    same = functools.reduce(Column.__and__, [F.col(f"`{c}`").eqNullSafe(F.col(f"_h{k}")) for k, c in enumerate(own)])
+    return a.join(hits, same, how)
 
 
 def overlap_lists(a: DataFrame, b: DataFrame, least: int = 1, key: str = "rowid") -> DataFrame:

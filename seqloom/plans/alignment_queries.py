@@ -9,7 +9,7 @@ from seqloom.operators import networks as N
 from seqloom.operators import pileup as P
 from seqloom.operators import reads as R
 from seqloom.plans.common import READS, reads, refs
-from seqloom.runtime import table
+from seqloom.runtime import table, written
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -40,9 +40,10 @@ def _pile(s, d):
     return P.pileup(alignments(s, d), 20, 10)
 
 
-def _ref(s, d):
-    piles = _pile(s, d)
-    return piles.where("base in ('A', 'C', 'G', 'T')").groupBy("chrom", "pos", "base").agg(F.sum("n").alias("n")).groupBy("chrom", "pos").agg(F.min(F.struct((-F.col("n")).alias("o"), "base")).alias("b")).select("chrom", "pos", F.col("b.base").alias("ref"))
+def _pile_and_ref(s, d):
+    """The pileup, written once as it is read three times, and the commonest letters as the reference."""
+    piles = written(_pile(s, d), "pileup")
+    return piles, piles.where("base in ('A', 'C', 'G', 'T')").groupBy("chrom", "pos", "base").agg(F.sum("n").alias("n")).groupBy("chrom", "pos").agg(F.min(F.struct((-F.col("n")).alias("o"), "base")).alias("b")).select("chrom", "pos", F.col("b.base").alias("ref"))
 
 
 REF = PILE + ", ref AS (SELECT chrom, pos, base AS ref FROM pile WHERE base IN ('A', 'C', 'G', 'T') GROUP BY chrom, pos, base QUALIFY row_number() OVER (PARTITION BY chrom, pos ORDER BY sum(n) DESC, base) = 1)"
@@ -50,8 +51,8 @@ add("pileup", _pile, PILE + " SELECT chrom, pos, strand, hq, base, n FROM pile")
 add("pileup_depth", lambda s, d: P.depth_summary(_pile(s, d)), PILE + ", t AS (SELECT chrom, pos, sum(n) AS depth FROM pile GROUP BY ALL) SELECT chrom, min(depth)::BIGINT AS min, max(depth)::BIGINT AS max, avg(depth) AS mean, quantile_cont(depth, 0.5)::DOUBLE AS median, stddev_samp(depth) AS sd, count(*) AS positions FROM t GROUP BY chrom")
 _VAR = REF + """, h AS (SELECT * FROM pile WHERE hq AND base IN ('A', 'C', 'G', 'T', 'N', 'D')), t AS (SELECT chrom, pos, sum(n) AS depth FROM h GROUP BY ALL), o AS (SELECT chrom, pos, base AS alt, sum(n) AS n, coalesce(sum(n) FILTER (strand = '+'), 0) AS f FROM h GROUP BY ALL),
 v AS (SELECT chrom, pos, ref, alt, n::BIGINT AS n, depth::BIGINT AS depth, n / depth AS fraction, f / n AS forward FROM o JOIN t USING (chrom, pos) JOIN ref USING (chrom, pos) WHERE alt <> ref AND alt <> 'N' AND depth > 10 AND n / depth > 0.05 AND f / n > 0.2 AND f / n < 0.8)"""
-add("variants", lambda s, d: P.variants(_pile(s, d), _ref(s, d), 10, 0.05, 0.2), _VAR + " SELECT * FROM v")
-add("variants_biallelic", lambda s, d: P.variants(_pile(s, d), _ref(s, d), 10, 0.05, 0.2, biallelic=True), _VAR + " SELECT * FROM v QUALIFY count(*) OVER (PARTITION BY chrom, pos) = 1")
+add("variants", lambda s, d: P.variants(*_pile_and_ref(s, d), 10, 0.05, 0.2), _VAR + " SELECT * FROM v")
+add("variants_biallelic", lambda s, d: P.variants(*_pile_and_ref(s, d), 10, 0.05, 0.2, biallelic=True), _VAR + " SELECT * FROM v QUALIFY count(*) OVER (PARTITION BY chrom, pos) = 1")
 
 
 def _places(s, d):
@@ -82,7 +83,7 @@ add("compare_all_by_all", _edges)
 add("map_reads", lambda s, d: A.best_matches(reads(s, d), refs(s, d), 16, 0.3, ties="first").select("id_a", "id_b", "identity", "mismatches"))
 add("compare_to_reference", lambda s, d: A.best_matches(reads(s, d), refs(s, d), 16, 0.3, ties="all").select("id_a", "id_b", "identity", "mismatches"))
 add("trim_to_reference", lambda s, d: A.trimmed_to_reference(reads(s, d), refs(s, d), k=20))
-add("single_linkage", lambda s, d: N.linked(_haplotypes(s, d), A.candidate_pairs(_haplotypes(s, d), None, 16, 0.02)))
+add("single_linkage", lambda s, d: N.linked(_haplotypes(s, d), _edges(s, d).where("identity >= 0.97")))
 add("connected_groups", lambda s, d: N.components(_sample_edges(s, d)), f", e AS (SELECT rowid AS a, r AS b FROM (SELECT rowid, min(rowid) OVER (PARTITION BY sample) AS r FROM reads WHERE sample IS NOT NULL) WHERE rowid <> r) SELECT a AS node, b AS component FROM e UNION SELECT b, b FROM e", READS)
 
 

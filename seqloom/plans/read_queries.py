@@ -67,7 +67,8 @@ on_reads("append_names", lambda r: r.withColumn("name", F.concat("name", F.lit("
 on_reads("name_to_white_space", lambda r: r.withColumn("name", F.regexp_extract("name", r"^\S*", 0)), "SELECT rowid, regexp_extract(name, '^\\S*') AS name FROM reads", ("rowid", "name"))
 on_reads("rename_reads", lambda r: R.renamed(r, "seq"), "SELECT rowid, 'seq.' || lpad(CAST(row_number() OVER (ORDER BY rowid) - 1 AS VARCHAR), 6, '0') AS name, name AS old_name FROM reads", ("rowid", "name", "old_name"))
 on_reads("dereplicate", R.replicated, "SELECT rowid, name || '_' || copy AS name, CAST(copy AS INTEGER) AS copy FROM (SELECT rowid, name, unnest(range(0, CAST(round(cnt) AS BIGINT))) AS copy FROM reads)", ("rowid", "name", "copy"))
-add("collapse_to_unique", lambda spark, d: R.collapsed(reads(spark, d), names=True).select("rowid", "seq", "records", "cnt", F.array_join("names", ",").alias("names")), f"WITH {READS} SELECT min(rowid) AS rowid, seq, count(*) AS records, sum(cnt) AS cnt, coalesce(string_agg(name, ',' ORDER BY name), '') AS names FROM reads GROUP BY seq")
+add("collapse_to_unique", lambda spark, d: R.collapsed(reads(spark, d)).select("rowid", "seq", "records", "cnt"), f"WITH {READS} SELECT min(rowid) AS rowid, seq, count(*) AS records, sum(cnt) AS cnt FROM reads GROUP BY seq")
+add("collapsed_members", lambda spark, d: R.members(reads(spark, d)), f"WITH {READS} SELECT min(rowid) OVER (PARTITION BY seq) AS rep, rowid, name FROM reads")
 add("collapse_within_meta", lambda spark, d: R.collapsed(reads(spark, d), by=["sample"]).select("sample", "rowid", "records", "cnt"), f"WITH {READS} SELECT sample, min(rowid) AS rowid, count(*) AS records, sum(cnt) AS cnt FROM reads GROUP BY sample, seq")
 add("expand_collapsed", lambda spark, d: R.uncollapsed(R.collapsed(reads(spark, d)), R.members(reads(spark, d))), f"WITH {READS} SELECT rowid, name, seq FROM reads")
 on_reads("sort_by_composition", lambda r: r.orderBy(S.gc_fraction(F.col("seq")), "seq"), "SELECT rowid, seq FROM reads")

@@ -213,12 +213,12 @@ VCF_HEAD = (
 
 
 def write_vcf(variants: DataFrame, path: str) -> None:
-    """Variants (chrom, pos from 0, ref, alt, n, depth) as VCF 4.0 in one sorted file; variants are few against alignments."""
+    """Variants (chrom, pos from 0, ref, alt, n, depth) as VCF 4.0, sorted over the files of path in their order; the first one has the header, so the file is what they make together."""
     info = F.concat(F.lit("DP="), "depth", F.lit(";AC="), "n")
     row = F.concat_ws("\t", "chrom", (F.col("pos") + 1).cast("string"), F.lit("."), "ref", "alt", F.lit("."), F.lit("PASS"), info)
     rows = variants.select(F.lit(1).alias("o"), "chrom", "pos", row.alias("value"))
     head = variants.sparkSession.createDataFrame([(0, "", k, line) for k, line in enumerate(VCF_HEAD)], "o int, chrom string, pos long, value string")
-    head.unionByName(rows).orderBy("o", "chrom", "pos", "value").coalesce(1).select("value").write.text(path)
+    head.unionByName(rows).orderBy("o", "chrom", "pos", "value").select("value").write.text(path)
 
 
 def read_named_lines(spark: SparkSession, path: str) -> DataFrame:
