@@ -46,6 +46,10 @@ def _pile_and_ref(s, d):
     return piles, piles.where("base in ('A', 'C', 'G', 'T')").groupBy("chrom", "pos", "base").agg(F.sum("n").alias("n")).groupBy("chrom", "pos").agg(F.min(F.struct((-F.col("n")).alias("o"), "base")).alias("b")).select("chrom", "pos", F.col("b.base").alias("ref"))
 
 
+def _ref(s, d):
+    return _pile_and_ref(s, d)[1]
+
+
 REF = PILE + ", ref AS (SELECT chrom, pos, base AS ref FROM pile WHERE base IN ('A', 'C', 'G', 'T') GROUP BY chrom, pos, base QUALIFY row_number() OVER (PARTITION BY chrom, pos ORDER BY sum(n) DESC, base) = 1)"
 add("pileup", _pile, PILE + " SELECT chrom, pos, strand, hq, base, n FROM pile")
 add("pileup_depth", lambda s, d: P.depth_summary(_pile(s, d)), PILE + ", t AS (SELECT chrom, pos, sum(n) AS depth FROM pile GROUP BY ALL) SELECT chrom, min(depth)::BIGINT AS min, max(depth)::BIGINT AS max, avg(depth) AS mean, quantile_cont(depth, 0.5)::DOUBLE AS median, stddev_samp(depth) AS sd, count(*) AS positions FROM t GROUP BY chrom")
