@@ -64,7 +64,7 @@ def _wide_sql() -> str:
     return _CELLS + f", own AS (SELECT accession, {cells} FROM best GROUP BY accession) SELECT * FROM (SELECT DISTINCT upper(trim(accession, E' \\t\\n\\r')) AS accession FROM biosample_attributes) LEFT JOIN own USING (accession) WHERE accession <> ''"
 
 
-def _p5_sql() -> str:
+def _p5_ctes() -> str:
     def parts(j: str, path: str) -> str:
         return f"CASE json_type({j}, '{path}') WHEN 'ARRAY' THEN json_extract({j}, '{path}[*]') WHEN 'OBJECT' THEN [json_extract({j}, '{path}')] ELSE CAST([] AS JSON[]) END"
 
@@ -73,7 +73,6 @@ def _p5_sql() -> str:
 
     kinds = {k: p for k, (p, _) in nested.CHILDREN.items()}
     ctes = ", ".join(f"t{k} AS ({level('s2', 'raw_id, sample_pos', p)})" for k, p in kinds.items())
-    rows = " UNION ALL ".join(f"SELECT raw_id, sample_pos, '{k}' AS kind, sample_pos AS parent_pos, i AS child_pos FROM t{k}" for k in kinds)
     return f"""
 WITH once AS (SELECT raw_id, CASE WHEN json_valid(doc) AND json_type(CASE WHEN json_valid(doc) THEN doc END) = 'VARCHAR' THEN (CASE WHEN json_valid(doc) THEN doc END)::JSON ->> '$' ELSE doc END AS t FROM biosample_raw),
 d AS (SELECT raw_id, CAST(t AS JSON) AS v FROM (SELECT raw_id, CASE WHEN json_valid(t) THEN t END AS t FROM once) WHERE t IS NOT NULL),
@@ -81,10 +80,22 @@ s AS ({level('d', 'raw_id', '$.BioSampleSet.BioSample')}),
 s2 AS (SELECT raw_id, i AS sample_pos, v FROM s),
 {ctes},
 a2 AS (SELECT raw_id, sample_pos, i AS parent_pos, v FROM tAttribute),
-e AS ({level('a2', 'raw_id, sample_pos, parent_pos', '$.Evidence')})
+e AS ({level('a2', 'raw_id, sample_pos, parent_pos', '$.Evidence')})"""
+
+
+def _p5_sql() -> str:
+    rows = " UNION ALL ".join(f"SELECT raw_id, sample_pos, '{k}' AS kind, sample_pos AS parent_pos, i AS child_pos FROM t{k}" for k in nested.CHILDREN)
+    return f"""{_p5_ctes()}
 SELECT raw_id, CAST(sample_pos AS INTEGER) AS sample_pos, kind, CAST(parent_pos AS INTEGER) AS parent_pos, CAST(child_pos AS INTEGER) AS child_pos FROM (
 SELECT raw_id, sample_pos, 'BioSample' AS kind, -1 AS parent_pos, sample_pos AS child_pos FROM s2 UNION ALL {rows}
 UNION ALL SELECT raw_id, sample_pos, 'Evidence' AS kind, parent_pos, i AS child_pos FROM e)"""
 
 
-SQL = {"p2_found": _CELLS + "SELECT accession, attribute, attr_id FROM best", "p2_wide": _wide_sql(), "p5_found": _p5_sql()}
+def _p5_table_sql(kind: str) -> str:
+    source, parent, child = {"BioSample": ("s2", "-1", "sample_pos"), "Evidence": ("e", "parent_pos", "i")}.get(kind, (f"t{kind}", "sample_pos", "i"))
+    fields = nested.SAMPLE if kind == "BioSample" else nested.EVIDENCE if kind == "Evidence" else nested.CHILDREN[kind][1]
+    members = ", ".join("json_extract_string(v, '{}') AS {}".format(path.replace("['$t']", '."$t"'), name) for name, path in fields.items())
+    return f"{_p5_ctes()} SELECT raw_id, CAST(sample_pos AS INTEGER) AS sample_pos, CAST({parent} AS INTEGER) AS parent_pos, CAST({child} AS INTEGER) AS child_pos, {members} FROM {source}"
+
+
+SQL = {"p2_found": _CELLS + "SELECT accession, attribute, attr_id FROM best", "p2_wide": _wide_sql(), "p5_found": _p5_sql()} | {f"p5_table_{k.lower()}": _p5_table_sql(k) for k in nested.KINDS}
