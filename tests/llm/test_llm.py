@@ -156,6 +156,46 @@ def test_pairs_of_a_large_family(spark):
     assert len(expected) > 10_000 and {p for p in found_pairs(spark, rows) if max(x % 10_000 for x in p) < 250} == expected
 
 
+def test_pairs_of_crowded_combinations(spark, monkeypatch):
+    """A primer that most records hold, in cells: records that only share it, and families behind it."""
+    monkeypatch.setattr(near, "CROWD", 60)
+    monkeypatch.setattr(near, "OFTEN", 30)
+    rng = random.Random(14)
+    some = lambda n: "".join(rng.choices("ACGT", k=n))
+    primer, rows = some(40), []
+    for k in range(400):
+        own = some(150) if k % 4 else rows[rng.randrange(len(rows))][1][40:] if rows else some(150)
+        at = rng.randrange(len(own))
+        rows.append((k, primer + own[:at] + rng.choice("ACGT") + own[at + 1 :]))
+    known = near.frequent(near.packed(spark.createDataFrame(rows, "rowid long, seq string")))
+    assert len(known.hot) and len(known.crowded) and known.cells.max() > 1
+    expected = brute_pairs(rows)
+    assert len(expected) > 50 and found_pairs(spark, rows) == expected
+
+
+def test_complete_index_and_steps(spark):
+    rng = random.Random(15)
+    rows = [(k, s) for k, (_, s) in enumerate(family(4, 40)) if s is not None]
+    runs = "".join(c * 6 for c in rng.choices(["A", "C", "G", "T"], k=40))  # edits in runs of equal letters leave few unshared tokens
+    rows += [(500 + k, "".join(c if k == 0 or i % 19 else "" for i, c in enumerate(runs))) for k in range(2)]
+    df = spark.createDataFrame(rows, "rowid long, seq string")
+    assert {(r.rowid_a, r.rowid_b) for r in near.similar_pairs(df, complete=True).collect()} == brute_pairs(rows)
+    with pytest.raises(ValueError):
+        near.similar_pairs(df, 0.5)
+    for n in range(near.MID.least, 3000):  # edits that leave 7, 8 and 9 tokens unshared leave such a stretch
+        for kind, least, cost in ((near.MID, near.MID.least, 7), (near.LONG, near.LONG.least, 9), (near.LONG, 134, 8)):
+            shared, gaps = -(-7 * n // 10), (3 * n // 10) // cost
+            if least <= n <= kind.most:
+                assert -(-shared // (gaps + 1)) >= kind.size + kind.runs - near.TOKEN
+
+
+def test_pairs_with_clashing_columns(spark):
+    rows = [(1, "ACGTTGCAATGCCGATTACA" * 3, "x"), (2, "ACGTTGCAATGCCGATTACA" * 3, None), (3, None, "y"), (None, "ACGTTGCAATGCCGATTACA" * 3, "z"), (4, "", None)]
+    df = spark.createDataFrame(rows, "rowid long, seq string, size string").withColumns({c: F.lit(1) for c in ("nid", "a", "b", "letters", "key", "part")})
+    assert [tuple(r) for r in near.similar_pairs(df).collect()] == [(1, 2)]
+    assert {(r.rowid, r.group_id, r.links) for r in near.groups(df).collect()} == {(1, 1, 0), (2, 1, 0)}
+
+
 def test_pairs_of_poly_a(spark):
     rows = [(1, "A" * 100), (2, "A" * 100 + "C"), (3, "A" * 81), (4, "A" * 40 + "C" + "A" * 40), (5, "C" * 90)]
     assert found_pairs(spark, rows) == brute_pairs(rows) >= {(1, 2), (3, 4)}
