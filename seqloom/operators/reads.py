@@ -309,7 +309,7 @@ def demultiplexed(df: DataFrame, barcodes: DataFrame, errors: int = 0, most_barc
     forms = listed.withColumn("wrong", F.lit(0))
     for k in range(errors):
         spots = F.sequence(F.lit(1), F.length("barcode"))
-        other = F.explode(F.flatten(F.transform(spots, lambda i: F.transform(F.array(*[F.lit(x) for x in "ACGTN"]), lambda x, i=i: F.overlay("barcode", x, i, F.lit(1))))))
+        other = F.explode(F.flatten(F.transform(spots, lambda i: F.transform(F.array(*[F.lit(x) for x in "ACGTN"]), lambda x: F.overlay("barcode", x, i, F.lit(1))))))
         forms = forms.unionByName(forms.where(F.col("wrong") == k).select("barcode_id", other.alias("barcode"), F.lit(k + 1).alias("wrong")))
     forms = forms.groupBy("barcode").agg(F.min(F.struct("wrong", "barcode_id")).alias("hit"))
     sizes = [r[0] for r in forms.select(F.length("barcode")).distinct().limit(most_barcodes).collect()]

@@ -56,7 +56,8 @@ add("read_fractions", lambda s, d: I.read_fractions(reads(s, d)), "SELECT rowid,
 add("variable_sites", lambda s, d: I.column_counts(ends(s, d), "N"), "SELECT position, base, n, fraction FROM (SELECT CAST(position AS INTEGER) AS position, base, count(*) AS n, count(*) / sum(count(*)) OVER (PARTITION BY position) AS fraction, count(*) OVER (PARTITION BY position) AS k FROM cols WHERE base <> 'N' GROUP BY position, base) WHERE k > 1", ENDS)
 add("column_entropy", lambda s, d: I.column_entropy(ends(s, d)), ", p AS (SELECT position, count(*) / sum(count(*)) OVER (PARTITION BY position) AS f FROM cols GROUP BY position, base) SELECT CAST(position AS INTEGER) AS position, sum(-f * log2(f)) AS entropy FROM p GROUP BY position", ENDS)
 add("consensus", lambda s, d: I.consensus(ends(s, d)), ", v AS (SELECT position, base, row_number() OVER (PARTITION BY position ORDER BY sum(cnt) DESC, base) AS k FROM cols GROUP BY position, base) SELECT string_agg(base, '' ORDER BY position) AS seq FROM v WHERE k = 1", ENDS)
-add("degenerate_string", lambda s, d: I.degenerate_string(refs(s, d)), None)
+_LETTERS = ", ".join(f"('{b}', '{c}')" for b, c in {b: c for c, b in S.IUPAC.items()}.items())
+add("degenerate_string", lambda s, d: I.degenerate_string(refs(s, d)), f", sets AS (SELECT i, string_agg(DISTINCT base, '' ORDER BY base) AS b FROM (SELECT i, substr(seq, i, 1) AS base FROM (SELECT seq, unnest(range(1, length(seq) + 1)) AS i FROM refs)) WHERE base IN ('A', 'C', 'G', 'T') GROUP BY i) SELECT string_agg(l, '' ORDER BY i) AS seq FROM sets JOIN (VALUES {_LETTERS}) t(b, l) USING (b)", REFS)
 add("residue_ranks", lambda s, d: I.residue_ranks(ends(s, d)), ", r AS (SELECT position, base, CAST(row_number() OVER (PARTITION BY position ORDER BY count(*), base) AS INTEGER) AS rank FROM cols GROUP BY position, base) SELECT rowid, CAST(position AS INTEGER) AS position, rank FROM cols JOIN r USING (position, base)", ENDS)
 _H = ", h AS (SELECT {by} seq, sum(cnt) AS n, sum(cnt) / sum(sum(cnt)) OVER ({over}) AS fraction FROM reads {where} GROUP BY {by} seq)"
 _D = "count(*) AS haplotypes, sum(n) AS reads, count(*) FILTER (n = 1) AS singlets, count(*) FILTER (n = 2) AS doublets, 1 - sum(fraction * fraction) AS he, 1 / sum(fraction * fraction) AS effective, sum(-fraction * ln(fraction)) AS entropy, exp(sum(-fraction * ln(fraction))) AS exp_entropy"

@@ -36,7 +36,8 @@ add("best_kmer_reference", lambda s, d: K.best_reference(reads(s, d), refs(s, d)
 add("best_kmer_reference_ties", lambda s, d: K.best_reference(reads(s, d), refs(s, d), 12, ties=True), _BEST + ", b AS (SELECT * FROM s QUALIFY rank() OVER (PARTITION BY id_a ORDER BY similarity DESC) = 1) SELECT rowid AS id, id_b AS ref_id, similarity FROM reads LEFT JOIN b ON rowid = id_a")
 add("kmer_both_strands", lambda s, d: K.similarities_both_strands(reads(s, d), 14, refs(s, d)), ", turned AS (SELECT rowid, reverse(translate(seq, 'ACGTRYKMBVDH', 'TGCAYRMKVBHD')) AS seq FROM reads)" + prof("reads", 14) + prof("turned", 14, "t") + prof("refs", 14, "r") + f", f AS ({TO_REFS}), g AS ({SIM.format(a='t', b='r', on='')}) SELECT coalesce(f.id_a, g.id_a) AS id_a, coalesce(f.id_b, g.id_b) AS id_b, coalesce(f.similarity, 0.0) AS forward, coalesce(g.similarity, 0.0) AS reverse FROM f FULL JOIN g ON f.id_a = g.id_a AND f.id_b = g.id_b")
 add("similar_by_kmers", lambda s, d: K.similar_to_any(reads(s, d), refs(s, d), 12, 0.2).select("rowid", "similar"), _BEST + " SELECT rowid, rowid IN (SELECT id_a FROM s WHERE similarity >= 0.2) AS similar FROM reads")
-add("reorient_reads", lambda s, d: K.reoriented(reads(s, d), refs(s, d), 14).select("rowid", "turned", "seq"))
+add("reorient_reads", lambda s, d: K.reoriented(reads(s, d), refs(s, d), 14).select("rowid", "turned", "seq"), SQL["kmer_both_strands"][len(f"WITH {BOTH}"):].replace("SELECT coalesce(f.id_a", ", v AS (SELECT coalesce(f.id_a") + """), o AS (SELECT id_a, count(*) FILTER (reverse > forward) > count(*) FILTER (forward > reverse) AS t FROM v GROUP BY id_a)
+SELECT rowid, coalesce(t, false) AS turned, CASE WHEN t THEN reverse(translate(seq, 'ACGTRYKMBVDH', 'TGCAYRMKVBHD')) ELSE seq END AS seq FROM reads LEFT JOIN o ON rowid = id_a""")
 add("scanning_kmer_similarity", lambda s, d: K.scanning(refs(s, d), refs(s, d), 12, 100, 50), ", w AS (SELECT rowid || ':' || st AS rowid, substr(seq, CAST(st AS INTEGER) + 1, 100) AS seq FROM (SELECT rowid, seq, unnest(range(0, length(seq) - 99, 50)) AS st FROM refs WHERE length(seq) >= 100))" + prof("w", 12) + prof("refs", 12, "r") + f", s AS ({TO_REFS}) SELECT CAST(split_part(id_a, ':', 1) AS BIGINT) AS id_a, CAST(split_part(id_a, ':', 2) AS INTEGER) AS start, id_b, similarity FROM s")
 add("kmer_presence", lambda s, d: K.presence(reads(s, d), 14, 5), prof("reads", 14) + " SELECT id, kmer FROM p WHERE kmer IN (SELECT kmer FROM p GROUP BY kmer HAVING count(*) >= 5)")
 add("unique_kmers_between", lambda s, d: K.unique_between(reads(s, d), refs(s, d), 7), prof("reads", 7) + prof("refs", 7, "r") + ", x AS (SELECT kmer, CAST(sum(n) AS BIGINT) AS places FROM p GROUP BY kmer), y AS (SELECT kmer, CAST(sum(n) AS BIGINT) AS places FROM r GROUP BY kmer) SELECT kmer, places, 'a' AS side FROM x ANTI JOIN y USING (kmer) UNION ALL SELECT kmer, places, 'b' AS side FROM y ANTI JOIN x USING (kmer)")

@@ -66,7 +66,7 @@ add("pairs_to_reads", lambda s, d: P.paired(alignments(s, d).withColumn("name",
 add("mate_distances", lambda s, d: P.mate_distances(alignments(s, d).withColumn("name", F.col("rowid") % 1500)), "SELECT distance, count(*) AS n FROM (SELECT max(rowid) - min(rowid) AS distance FROM alns GROUP BY rowid % 1500 HAVING count(*) = 2) GROUP BY distance", ALNS)
 add("primer_arms", lambda s, d: V.spanning(regions(s, d), targets(s, d), 101, 499).select("chrom", "name_a", "name_b", "length"), """SELECT r.chrom, r.name AS name_a, t.name AS name_b, t."end" - r."start" AS length FROM regions r JOIN targets t ON r.chrom = t.chrom AND t."start" >= r."start" AND t."end" - r."start" BETWEEN 101 AND 499 AND r.strand <> t.strand""", BOTH_REGIONS)
 add("non_unique_arms", lambda s, d: regions(s, d).groupBy("name", "strand").agg(F.count("*").alias("n")).where("n >= 2"), "SELECT name, strand, count(*) AS n FROM regions GROUP BY ALL HAVING count(*) >= 2", BOTH_REGIONS)
-add("stitch_pairs", lambda s, d: A.stitched(reads(s, d).where("length(seq) >= 60").select("rowid", F.expr("substring(seq, 1, length(seq) - 20)").alias("r1"), F.expr("substring(seq, 26)").alias("r2")), 15, 0.0).select("rowid", "seq", "status"))
+add("stitch_pairs", lambda s, d: A.stitched(reads(s, d).where("length(seq) >= 60").select("rowid", F.expr("substring(seq, 1, length(seq) - 20)").alias("r1"), F.expr("substring(seq, 26)").alias("r2")), 15, 0.0).select("rowid", "seq", "status"), ", m AS (SELECT rowid, substr(seq, 1, length(seq) - 20) AS a, substr(seq, 26) AS b FROM reads WHERE length(seq) >= 60), o AS (SELECT *, list_filter(range(least(length(a), length(b)), 14, -1), lambda k: right(a, k) = left(b, k))[1] AS k FROM m) SELECT rowid, CASE WHEN k IS NOT NULL THEN a || substr(b, k + 1) END AS seq, CASE WHEN k IS NULL THEN 'no_overlap' ELSE 'joined' END AS status FROM o", READS)
 add("kmer_counts_in_both", lambda s, d: K.counts_in_both(reads(s, d), refs(s, d), 9), ", a AS (SELECT substr(seq, i, 9) AS kmer, count(*) AS n FROM (SELECT seq, unnest(range(1, length(seq) - 7)) AS i FROM reads WHERE length(seq) >= 9) GROUP BY 1), b AS (SELECT substr(seq, i, 9) AS kmer, count(*) AS n FROM (SELECT seq, unnest(range(1, length(seq) - 7)) AS i FROM refs WHERE length(seq) >= 9) GROUP BY 1) SELECT coalesce(a.kmer, b.kmer) AS kmer, coalesce(a.n, 0) AS in_reads, coalesce(b.n, 0) AS in_regions FROM a FULL JOIN b ON a.kmer = b.kmer", f"{READS}, {REFS}")
 add("transcript_positions", lambda s, d: G.position_table(features(s, d).withColumn("strand", F.lit("+"))), ", p AS (SELECT DISTINCT parent, seqid AS chrom, \"start\" - 1 AS a, \"end\" AS b FROM feat WHERE type = 'CDS'), q AS (SELECT *, coalesce(sum(b - a) OVER (PARTITION BY parent ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS bef FROM p) SELECT parent, bef + k AS cdna_pos, chrom, a + k AS pos, '+' AS strand FROM (SELECT *, unnest(range(0, b - a)) AS k FROM q)", FEATURES)
 add("called_variants", lambda s, d: A.called_variants(reads(s, d), refs(s, d), 2.0, 0.005, k=16))

@@ -42,7 +42,7 @@ w AS (SELECT rowid, i * 5 AS pos, list_sum(qual[i * 5 + 1 : i * 5 + 10]) / 10.0
 c AS (SELECT rowid, min(pos) AS cut FROM (SELECT rowid, pos, bad AND coalesce(lead(bad) OVER (PARTITION BY rowid ORDER BY pos), false) AS two FROM w) WHERE two GROUP BY rowid)
 SELECT rowid, CASE WHEN cut IS NULL THEN seq ELSE substr(seq, 1, cut) END AS seq FROM scored LEFT JOIN c USING (rowid)""")
 add("trim_to_named_positions", lambda spark, d: R.trim_to_named_positions(refs(spark, d), refs(spark, d).select("name", (F.col("rowid") % 50).cast("int").alias("start"), (F.col("rowid") % 50 + 60).cast("int").alias("end"))).select("rowid", "seq"), f"WITH {REFS} SELECT a.rowid, substr(a.seq, CAST(b.rowid % 50 + 1 AS INTEGER), 60) AS seq FROM refs a JOIN refs b ON a.name = b.name")
-add("break_at_pattern", lambda spark, d: R.break_at_pattern(reads(spark, d), "N+").groupBy("rowid").agg(F.count("*").alias("parts"), F.sum(F.length("seq")).alias("letters"), F.max("end").alias("last")), None)
+add("break_at_pattern", lambda spark, d: R.break_at_pattern(reads(spark, d), "N+").groupBy("rowid").agg(F.count("*").alias("parts"), F.sum(F.length("seq")).alias("letters"), F.max("end").alias("last")), f"WITH {READS} SELECT rowid, CAST(len(p) AS BIGINT) AS parts, CAST(list_sum(list_transform(p, lambda x: length(x))) AS BIGINT) AS letters, CAST(length(rtrim(seq, 'N')) AS INTEGER) AS last FROM (SELECT rowid, seq, list_filter(string_split_regex(seq, 'N+'), lambda x: x <> '') AS p FROM reads) WHERE len(p) > 0")
 on_reads("change_case", lambda r: R.change_case(r, 3, 10), "SELECT rowid, substr(seq, 1, 3) || lower(substr(seq, 4, 10)) || substr(seq, 14) AS seq FROM reads")
 on_reads("change_case_back", lambda r: R.change_case(r, 0, 8, back=True, how="swap"), "SELECT rowid, substr(seq, 1, greatest(length(seq) - 8, 0)) || lower(CASE WHEN length(seq) >= 8 THEN substr(seq, length(seq) - 7) ELSE seq END) AS seq FROM reads")
 on_reads("append_reads", lambda r: R.add_sequence(r, "ACRT"), "SELECT rowid, seq || unnest(['ACAT', 'ACGT']) AS seq FROM reads")
@@ -108,4 +108,4 @@ on_reads("split_up_file", lambda r: R.in_chunks(r, 500), "SELECT rowid, (row_num
 on_reads("reads_at_position", lambda r: r.orderBy("rowid").offset(100).limit(50), "SELECT rowid, seq FROM reads ORDER BY rowid LIMIT 50 OFFSET 100")
 add("random_sample", lambda spark, d: R.sampled(reads(spark, d), 200, 42).select("rowid"))
 add("even_out_complement", lambda spark, d: R.balanced(reads(spark, d), F.coalesce(F.col("name").contains("_t1"), F.lit(False)), 42).groupBy(F.coalesce(F.col("name").contains("_t1"), F.lit(False)).alias("marked")).agg(F.count("*").alias("reads")), f"WITH {READS}, c AS (SELECT coalesce(contains(name, '_t1'), false) AS marked, count(*) AS n FROM reads GROUP BY 1) SELECT marked, (SELECT min(n) FROM c) AS reads FROM c")
-add("demultiplex", lambda spark, d: R.demultiplexed(reads(spark, d), refs(spark, d).select(F.col("rowid").alias("id"), F.substring("seq", 1, 8).alias("barcode")), 1).groupBy("barcode_id", "reverse").agg(F.count("*").alias("reads")))
+add("demultiplex", lambda spark, d: R.demultiplexed(reads(spark, d), refs(spark, d).select(F.col("rowid").alias("id"), F.substring("seq", 1, 8).alias("barcode")), 1).groupBy("barcode_id", "reverse").agg(F.count("*").alias("reads")), f"WITH {READS}, {REFS}, bc AS (SELECT rowid AS id, left(seq, 8) AS b FROM refs), p AS (SELECT rowid, false AS reverse, seq AS s FROM reads UNION ALL SELECT rowid, true, reverse(translate(seq, 'ACGTRYKMBVDH', 'TGCAYRMKVBHD')) FROM reads), h AS (SELECT rowid, reverse, id FROM p JOIN bc ON CASE WHEN length(s) >= length(b) THEN hamming(left(s, length(b)), b) ELSE 9 END <= 1 QUALIFY row_number() OVER (PARTITION BY rowid ORDER BY CASE WHEN length(s) >= length(b) THEN hamming(left(s, length(b)), b) ELSE 9 END, reverse, id) = 1) SELECT id AS barcode_id, reverse, count(*) AS reads FROM reads LEFT JOIN h USING (rowid) GROUP BY ALL")

@@ -319,3 +319,15 @@ def test_shared_folder_is_told_on_clusters():
 
     with pytest.raises(ValueError):
         runtime.shared_dir(Session)
+
+
+def test_barcodes_with_an_error(spark):
+    barcodes = spark.createDataFrame([(1, "ACGTACGT"), (2, "TTTTGGGG"), (3, None)], "id long, barcode string")
+    rows = [(1, "ACGTACGTCC"), (2, "ACGTACTTCC"), (3, "ACGAACTTCC"), (4, "AACCCCAAAA"), (5, None), (6, "ACG")]
+    found = R.demultiplexed(spark.createDataFrame(rows, "rowid long, seq string"), barcodes, 1)
+    assert {r.rowid: (r.barcode_id, r.reverse) for r in found.collect()} == {1: (1, False), 2: (1, False), 3: (None, None), 4: (2, True), 5: (None, None), 6: (None, None)}
+
+
+def test_smallest_k_without_repeats(spark):
+    df = spark.createDataFrame([(1, "ACGTACGTT"), (2, "GGATC"), (3, None), (4, "")], "rowid long, seq string")
+    assert K.smallest_unique_k(df) == 5
