@@ -33,7 +33,7 @@ def written(df: DataFrame, label: str, partition_by: list[str] | None = None) ->
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/seqloom/{label}-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
