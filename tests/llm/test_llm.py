@@ -1,3 +1,4 @@
+import os
 import random
 import re
 from collections import Counter
@@ -6,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seqloom import runtime
 from seqloom.llm import chop, letters, near, pack, passages, reading, spans, texts, tokens
 
 
@@ -173,6 +175,39 @@ def test_pairs_of_crowded_combinations(spark, monkeypatch):
     assert len(expected) > 50 and found_pairs(spark, rows) == expected
 
 
+def test_crowded_primer_is_not_sent_along_again_and_again(spark, monkeypatch):
+    """Letters of records with a crowded primer come a few times into the index, whatever the number of its records."""
+    monkeypatch.setattr(near, "CROWD", 20)
+    monkeypatch.setattr(near, "OFTEN", 10)
+    monkeypatch.setattr(near, "SAMPLE", 1.0)
+    rng = random.Random(16)
+    some = lambda n: "".join(rng.choices("ACGT", k=n))
+    primer, rows = some(20), []
+    for k in range(400):
+        own = some(120) if k % 4 else rows[rng.randrange(len(rows))][1][20:] if rows else some(120)
+        at = rng.randrange(len(own))
+        rows.append((k, primer + own[:at] + rng.choice("ACGT") + own[at + 1 :]))
+    rows += [(1000 + k, primer + some(5 + k % 7) + "ACCTG" * 20) for k in range(20)]  # unlike only next to the primer
+    df = spark.createDataFrame(rows, "rowid long, seq string")
+    single, _ = near.folded(near.packed(df))
+    known = near.frequent(single)
+    index = near.indexed(single, 0.7, 32, spark.sparkContext.broadcast(known)).where("base = -1").collect()
+    assert sum(near.read_texts(r.block).num_rows for r in index) <= 4 * len(rows)
+    expected = brute_pairs(rows)
+    assert len(expected) > 50 and found_pairs(spark, rows) == expected
+
+
+def test_shuffle_files_of_written_tables_are_removed(spark):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    before = files()
+    made = runtime.written(spark.range(1000).repartition(5, "id"), "test", drop_shuffles=True)
+    assert files() <= before and made.count() == 1000
+    assert all(spark.conf.get(name, None) is None for name in runtime._CLEANUP)
+    folder = made.inputFiles()[0].rpartition("/")[0].removeprefix("file://")
+    runtime.drop_table(made)
+    assert not os.path.exists(folder)
+
+
 def test_complete_index_and_steps(spark):
     rng = random.Random(15)
     rows = [(k, s) for k, (_, s) in enumerate(family(4, 40)) if s is not None]
