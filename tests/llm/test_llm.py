@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -197,6 +198,32 @@ def test_crowded_primer_is_not_sent_along_again_and_again(spark, monkeypatch):
     assert len(expected) > 50 and found_pairs(spark, rows) == expected
 
 
+def test_arrays_of_the_index():
+    """Unpacking, least places and letters beside runs against their plain definitions."""
+    rng = random.Random(17)
+    some = ["".join(rng.choices("ACGT" if k % 3 else "ACGTN", k=rng.randrange(10, 300))) for k in range(80)]
+    codes, offsets = letters.joined(pa.array(some))
+    size = np.diff(offsets)
+    blobs = spans.packed_letters(codes, offsets[:-1], size, int(size.max()))
+    for a, b in ((0, 80), (7, 31)):
+        own, ends = near.unpacked(blobs.slice(a, b - a), size[a:b])
+        assert own.tobytes().decode() == "".join(some[a:b]) and np.diff(ends).tolist() == size[a:b].tolist()
+    h = letters.mixed(np.arange(500, dtype=np.uint64) // 2)
+    for n in (1, 2, 9, 12, 16):
+        assert near.least_places(h, n).tolist() == letters.first_least(h, n).tolist()
+    for number, kind in enumerate((near.MID, near.LONG)):
+        own, _, at, _, level, first, last = near.least_runs(codes, offsets, kind, number, near.NOTHING)
+        assert len(at) and (at >= first).all() and (at <= last + kind.runs - 1).all() and set(level) == {near.RARE}
+        two, spare = near._TWO[own], near.SIDE - kind.runs + 1
+        left, right = at - first, last + kind.runs - 1 - at
+        found = near.around(two, np.zeros(len(own) + 1, np.int32), at, kind, left, right, np.zeros(len(at), bool))
+        for p, x, l, r in zip(at.tolist(), found.tolist(), left.tolist(), right.tolist(), strict=True):
+            before = [two[p - 1 - k] for k in range(l + 1) if p - 1 - k >= 0]
+            assert [x >> 2 * (spare + k) & 3 for k in range(len(before))] == before and x & (1 << 2 * spare) - 1 == 0
+            assert [x >> int(near._RIGHT) + 2 * k & 3 for k in range(r)] == two[p + kind.size : p + kind.size + r].tolist()
+            assert (x >> int(near._LEAST) & 15, x >> int(near._MOST) & 15) == (l + spare, r)
+
+
 def test_shuffle_files_of_written_tables_are_removed(spark):
     files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
     before = files()
