@@ -3,9 +3,9 @@
 Vector bin packing: an item has a number of tokens, of segments (1) and of loss-bearing tokens (those
 that hold letters of its author's own words). A container has a limit for each. One container at a time is open; of
 the items that still fit on all counts the one with the largest dot product of its demand with
-the room left, both as fractions of the limits, is placed next. Where the loss limit is the capacity it
-can't bind and isn't counted; then all items have the same share of segments, the largest product is that of
-the largest item that fits, and a search in the sorted sizes finds it.
+the room left, both as fractions of the limits, is placed next. All three are counted for every item, also
+where the loss limit is the capacity. Of items that are alike but for their tokens the largest that fits has the largest
+product; largest_first() finds it by a search in the sorted sizes.
 
 Items are packed in chunks of at most `chunk` items, in the partitions in which they are read, without
 a shuffle. Containers of a chunk that stay below `refill` of their tokens are opened again and their
@@ -45,26 +45,30 @@ def placed(demand: np.ndarray, limits: np.ndarray) -> np.ndarray:
     bins = np.full(n, -1, np.int64)
     scaled = (demand / limits).astype(np.float32)
     order = np.lexsort((np.arange(n), -scaled[:, 0]))
-    left, share = demand[order], scaled[order]
-    ids, taken, current, alive = order.copy(), np.zeros(n, bool), 0, n
+    left, share = np.ascontiguousarray(demand[order].T), np.ascontiguousarray(scaled[order].T)
+    ids, gone, current, alive = order.copy(), np.zeros(n, np.float32), 0, n
     while alive:
-        room = limits.astype(np.int64).copy()
-        ok = ~taken
+        room, steps, most = limits.astype(np.int64).copy(), -left[0], left.max(axis=1)
         while True:
-            ok &= (left <= room).all(axis=1)
-            if not ok.any():
+            fits = int(np.searchsorted(steps, -room[0]))  # from here on, as items are in the order of their first demand
+            gain = gone[fits:].copy()
+            for own, free in zip(share, (room / limits).astype(np.float32), strict=True):
+                gain += own[fits:] * free
+            for own, free, top in zip(left[1:], room[1:], most[1:], strict=True):
+                if top > free:
+                    np.putmask(gain, own[fits:] > free, -1)
+            k = int(gain.argmax()) if len(gain) else -1
+            if k < 0 or gain[k] < 0:
                 break
-            gain = share @ (room / limits).astype(np.float32)
-            gain[~ok] = -1
-            k = int(gain.argmax())
-            taken[k], ok[k] = True, False
+            k += fits
+            gone[k] = -np.inf
             bins[ids[k]] = current
-            room -= left[k]
+            room -= left[:, k]
             alive -= 1
         current += 1
         if alive < len(ids) // 2:
-            keep = ~taken
-            left, share, ids, taken = left[keep], share[keep], ids[keep], taken[keep]
+            keep = gone == 0
+            left, share, ids, gone = left[:, keep], share[:, keep], ids[keep], gone[keep]
     return bins
 
 
@@ -94,7 +98,7 @@ def largest_first(sizes: np.ndarray, capacity: int, most: int) -> np.ndarray:
     return bins
 
 
-def token_counts(df: DataFrame, doc_id: str, text: str, name: str, folder: str, with_loss: bool = True) -> DataFrame:
+def token_counts(df: DataFrame, doc_id: str, text: str, name: str, folder: str) -> DataFrame:
     """(doc_id, tokens, own) of each document; own are the starts and ends, in turn, of the runs of loss-bearing tokens."""
     vocabulary = sent_along(df.sparkSession, name, folder)
 
@@ -104,12 +108,8 @@ def token_counts(df: DataFrame, doc_id: str, text: str, name: str, folder: str,
             texts = [x or "" for x in part.column(1).to_pylist()]
             total, own = [], []
             for some in batches(texts):
-                if with_loss:
-                    found = tokenizer.encode_batch(some, add_special_tokens=False)
-                    own += [own_runs(t, e.offsets) for t, e in zip(some, found, strict=True)]
-                else:
-                    found = tokenizer.encode_batch_fast(some, add_special_tokens=False)
-                    own += [[]] * len(some)
+                found = tokenizer.encode_batch(some, add_special_tokens=False)
+                own += [own_runs(t, e.offsets) for t, e in zip(some, found, strict=True)]
                 total += [len(e) for e in found]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(total, pa.int64()), pa.array(own, pa.list_(pa.int64()))], [doc_id, "tokens", "own"])
 
@@ -141,15 +141,13 @@ def pieces_of(tokens: int, own: list[int], capacity: int) -> list[tuple[int, int
 _OUT = ["piece", "token_start", "tokens", "loss", "over", "fill", "container"]
 
 
-def packed(df: DataFrame, specs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS, segments: int | None = None, loss_share: float = 1.0, chunk: int | None = None, refill: float = 0.98) -> DataFrame:
+def packed(df: DataFrame, specs: DataFrame, doc_id: str = "doc_id", text: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZERS, segments: int | None = None, loss_share: float = 1.0, chunk: int = 4_096, refill: float = 0.98) -> DataFrame:
     """(spec_id, container, doc_id, piece, token_start, tokens, loss, over) of every document for every spec.
 
     segments: most items of a container, by default one for each 16 tokens, 16 at least.
-    loss_share: a container's limit of loss-bearing tokens as a share of its capacity; with 1, loss is null.
-    chunk: by default 65,536 items, 4,096 with a loss limit, where the work on a chunk grows with its square.
+    loss_share: a container's limit of loss-bearing tokens as a share of its capacity.
+    chunk: so many items are packed at once; the work on a chunk grows with its square.
     """
-    counted = loss_share < 1
-    chunk = chunk or (4_096 if counted else 65_536)
     wanted = [(r["spec_id"], r["capacity_tokens"]) for r in specs.where("capacity_tokens >= 1").select("spec_id", "capacity_tokens").limit(MOST_SPECS + 1).collect()]
     if len(wanted) > MOST_SPECS:
         raise ValueError(f"more than {MOST_SPECS} specs")
@@ -161,14 +159,10 @@ def packed(df: DataFrame, specs: DataFrame, doc_id: str = "doc_id", text: str =
         most = limits[spec]
         over = rows[:, 3] > most[2]
         bins = np.arange(len(rows))
-        if counted:
-            bins[~over] = placed(np.column_stack((rows[~over, 2], np.ones((~over).sum(), np.int64), rows[~over, 3])), most) + len(rows)
-        else:
-            bins = largest_first(rows[:, 2], int(most[0]), int(most[1]))
+        bins[~over] = placed(np.column_stack((rows[~over, 2], np.ones((~over).sum(), np.int64), rows[~over, 3])), most) + len(rows)
         _, bins = np.unique(bins, return_inverse=True)
         fill = np.where(over, 1.0, np.bincount(bins, weights=rows[:, 2])[bins] / most[0]) if len(rows) else np.zeros(0)
-        loss = pa.array(rows[:, 3]) if counted else pa.nulls(len(rows), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([spec] * len(rows), pa.int64()), ids, pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1]), pa.array(rows[:, 2]), loss, pa.array(over), pa.array(fill), pa.array(base + bins)], ["spec_id", doc_id, *_OUT])
+        return pa.RecordBatch.from_arrays([pa.array([spec] * len(rows), pa.int64()), ids, pa.array(rows[:, 0].astype(np.int32)), pa.array(rows[:, 1]), pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(over), pa.array(fill), pa.array(base + bins)], ["spec_id", doc_id, *_OUT])
 
     def chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         held, n = [], 0
@@ -209,11 +203,11 @@ def packed(df: DataFrame, specs: DataFrame, doc_id: str = "doc_id", text: str =
             spec_of = t.column("spec_id").to_numpy()
             for spec in np.unique(spec_of):
                 own = t.filter(pa.array(spec_of == spec))
-                rows = np.column_stack([own.column(c).fill_null(0).to_numpy() for c in _OUT[:4]]).astype(np.int64)
+                rows = np.column_stack([own.column(c).to_numpy() for c in _OUT[:4]]).astype(np.int64)
                 yield filled(int(spec), own.column(doc_id).combine_chunks(), rows, (1 << 62) + base_of(number))
                 number += 1
 
-    once = written(token_counts(df, doc_id, text, name, folder, counted).mapInArrow(first, schema), "packed")
+    once = written(token_counts(df, doc_id, text, name, folder).mapInArrow(first, schema), "packed")
     rest = once.where(F.col("fill") < refill)
     share = max(1, rest.count() // chunk)
     more = rest.repartition(share).mapInArrow(again, schema)
@@ -233,5 +227,5 @@ def broken(assigned: DataFrame, specs: DataFrame, segments: int | None = None, l
     capacity = F.col("capacity_tokens")
     each = assigned.groupBy("spec_id", "container").agg(F.count("*").alias("items"), F.sum("tokens").alias("tokens"), F.sum("loss").alias("loss"), F.max("over").alias("over"))
     most = F.lit(segments) if segments else F.greatest(F.lit(16), F.floor(capacity / 16))
-    wrong = (F.col("tokens") > capacity) | (F.col("items") > most) | (~F.col("over") & (F.coalesce("loss", F.lit(0)) > F.greatest(F.lit(1), F.floor(capacity * loss_share)))) | (F.col("over") & (F.col("items") > 1))
+    wrong = (F.col("tokens") > capacity) | (F.col("items") > most) | (~F.col("over") & (F.col("loss") > F.greatest(F.lit(1), F.floor(capacity * loss_share)))) | (F.col("over") & (F.col("items") > 1))
     return each.join(small_or_plain(specs.select("spec_id", "capacity_tokens")), "spec_id").where(wrong).select("spec_id", "container")

@@ -66,6 +66,8 @@ _ENTITIES = regex.compile(r"&(?:#\d+|#x[0-9a-f]+|[a-z]+);?", regex.I)
 _LINKS = regex.compile(r"(?:https?://|www\.)\S+|\S+@\S+\.\S+")
 #: Stands for a letter that isn't the author's own.
 _GONE = "\0"
+#: Whether a code point is space or stands for such a letter; none above the last is.
+_UNSEEN = np.array([chr(k) == _GONE or chr(k).isspace() for k in range(0x3002)])
 _VISIBLE = regex.compile(r"\S")
 _BLOB = regex.compile(r"[A-Za-z0-9+/=_-]{45,}")
 
@@ -153,6 +155,8 @@ def own_letters(text: str) -> np.ndarray:
         if gone or left > kept:
             lines[k] = _GONE * len(lines[k])
     text = "\n".join(lines)
-    for pattern in (_CODE, _TAGS, _ENTITIES, _LINKS, _BLOB):
-        text = pattern.sub(lambda m: _GONE * len(m.group()), text)
-    return np.array([not (c == _GONE or c.isspace()) for c in text], bool)
+    for pattern, marks in ((_CODE, "[<"), (_TAGS, "[<"), (_ENTITIES, "&"), (_LINKS, ("://", "www.", "@")), (_BLOB, ("",))):
+        if any(x in text for x in marks):  # without one of them there is no match
+            text = pattern.sub(lambda m: _GONE * len(m.group()), text)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    return ~_UNSEEN[np.minimum(points, len(_UNSEEN) - 1)]

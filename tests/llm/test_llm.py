@@ -346,6 +346,27 @@ def test_packing_rules(spark):
     assert pack.packed(docs.limit(0), specs).count() == 0
 
 
+def test_loss_is_counted_without_a_loss_limit(spark):
+    """Every piece has its loss-bearing tokens, and containers are chosen by them too, where the loss limit is the capacity."""
+    texts_ = ["> quoted words of another\n" * (k % 5) + "own words " * (k % 40) + "\u3000\u2003x" * (k % 3) for k in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts_)), "doc_id long, text string")
+    specs = spark.createDataFrame([(1, 64)], "spec_id long, capacity_tokens int")
+    rows = pack.packed(docs, specs).collect()
+    tokenizer, expected = texts.loaded(texts.tokenizer_json()), {}
+    for k, t in enumerate(texts_):
+        e = tokenizer.encode(t, add_special_tokens=False)
+        shown = texts.own_letters(t)
+        flags = [bool(shown[a:b].any()) for a, b in e.offsets]
+        for n, a in enumerate(range(0, max(1, len(flags)), 64)):
+            expected[k, n] = sum(flags[a : a + 64])
+    assert {(r.doc_id, r.piece): r.loss for r in rows} == expected and 0 < sum(expected.values()) < sum(r.tokens for r in rows)
+    assert pack.broken(pack.packed(docs, specs), specs).count() == 0
+    for t in ["", "a\u3000b\x85c\u2028d\x1fe", "\U0001f600 x\u00a0y", "@", "see www.x.org & [b]me[/b]"]:
+        plain = t.replace("\u2028", "\n").replace("\x85", "\n")
+        shown = texts.own_letters(t)
+        assert len(shown) == len(t) and not any(s and c.isspace() for s, c in zip(shown, plain, strict=True))
+
+
 def test_containers():
     rng = np.random.default_rng(2)
     for n in (0, 1, 50, 400):
