@@ -1,4 +1,6 @@
+import itertools
 import random
+from collections import Counter
 
 import pandas as pd
 import pytest
@@ -331,3 +333,43 @@ def test_barcodes_with_an_error(spark):
 def test_smallest_k_without_repeats(spark):
     df = spark.createDataFrame([(1, "ACGTACGTT"), (2, "GGATC"), (3, None), (4, "")], "rowid long, seq string")
     assert K.smallest_unique_k(df) == 5
+
+
+def _family():
+    """Related sequences of 60 letters, a repeat, a run of N, and ones that are short, empty or null."""
+    rng = random.Random(11)
+    roots = ["".join(rng.choices("ACGT", k=60)) for _ in range(3)]
+    rows = [(k, "".join(c if rng.random() > 0.05 else rng.choice("ACGT") for c in roots[k % 3])) for k in range(18)]
+    return [*rows, (20, "AC" * 20), (21, "N" * 30 + roots[0][:20]), (22, "ACG"), (23, ""), (24, None), (25, "N" * 35)]
+
+
+def _plain_similarities(a, b, k):
+    count = lambda s: Counter(s[i : i + k] for i in range(len(s or "") - k + 1))
+    found = {}
+    for (x, s), (y, t) in itertools.product(a, b):
+        if shared := sum((count(s) & count(t)).values()):
+            found[x, y] = shared / (min(len(s), len(t)) - k + 1)
+    return found
+
+
+@pytest.fixture
+def small_parts(monkeypatch):
+    monkeypatch.setattr(K, "PART_LETTERS", 300)
+    monkeypatch.setattr(K, "COLLECTED_LETTERS", 700)
+
+
+def test_similarities_over_lengths_in_parts(spark, small_parts):
+    rows = _family()
+    df = spark.createDataFrame(rows, "rowid long, seq string")
+    found = K.over_lengths(df, [4, 7])
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "MapInArrow" in plan  # exploded k-mers were joined, and broadcast by what their table's size told
+    want = {(x, y, k): pytest.approx(v) for k in (4, 7) for (x, y), v in _plain_similarities(rows, rows, k).items() if x > y}
+    assert {(r.id_a, r.id_b, r.k): r.similarity for r in found.collect()} == want
+    assert {(r.id_a, r.id_b) for r in K.similarities(df, 7, least=0.5).collect()} == {(x, y) for (x, y, k), v in want.items() if k == 7 and v.expected >= 0.5}
+
+
+def test_joined_kmers_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(K, "sent_references", lambda *_, **__: None)
+    df = spark.createDataFrame(_family(), "rowid long, seq string")
+    assert "BroadcastHashJoin" not in K.similarities(df, 5)._jdf.queryExecution().executedPlan().toString()
