@@ -373,3 +373,11 @@ def test_joined_kmers_are_not_broadcast(spark, monkeypatch):
     monkeypatch.setattr(K, "sent_references", lambda *_, **__: None)
     df = spark.createDataFrame(_family(), "rowid long, seq string")
     assert "BroadcastHashJoin" not in K.similarities(df, 5)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_decay_in_parts(spark, small_parts):
+    rows = _family()
+    found = K.decay(spark.createDataFrame(rows, "rowid long, seq string"), [7, 4, 5])
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    a, b, c = ({pair: v for pair, v in _plain_similarities(rows, rows, k).items() if pair[0] > pair[1]} for k in (4, 5, 7))
+    assert {(r.id_a, r.id_b): r.decay for r in found.collect()} == {p: pytest.approx((abs(b.get(p, 0) - a.get(p, 0)) + abs(c.get(p, 0) - b.get(p, 0))) / 2) for p in {*a, *b, *c}}
