@@ -381,3 +381,12 @@ def test_decay_in_parts(spark, small_parts):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     a, b, c = ({pair: v for pair, v in _plain_similarities(rows, rows, k).items() if pair[0] > pair[1]} for k in (4, 5, 7))
     assert {(r.id_a, r.id_b): r.decay for r in found.collect()} == {p: pytest.approx((abs(b.get(p, 0) - a.get(p, 0)) + abs(c.get(p, 0) - b.get(p, 0))) / 2) for p in {*a, *b, *c}}
+
+
+def test_scanning_in_parts(spark, small_parts):
+    rows = _family()
+    df = spark.createDataFrame(rows, "rowid long, seq string")
+    found = K.scanning(df, df, 6, 20, 10)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    wins = [((x, at), s[at : at + 20]) for x, s in rows for at in range(0, len(s or "") - 19, 10)]
+    assert {((r.id_a, r.start), r.id_b): r.similarity for r in found.collect()} == {p: pytest.approx(v) for p, v in _plain_similarities(wins, rows, 6).items()}
