@@ -390,3 +390,25 @@ def test_scanning_in_parts(spark, small_parts):
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     wins = [((x, at), s[at : at + 20]) for x, s in rows for at in range(0, len(s or "") - 19, 10)]
     assert {((r.id_a, r.start), r.id_b): r.similarity for r in found.collect()} == {p: pytest.approx(v) for p, v in _plain_similarities(wins, rows, 6).items()}
+
+
+@pytest.mark.parametrize(("k", "least"), [(4, 7), (5, 5), (6, 3)])
+def test_streaks_in_parts(spark, small_parts, k, least):
+    rows = _family()
+    chroms = [("c1", "GG" + rows[0][1][5:40] + "T" + rows[4][1] + "N" * 33), ("c2", turned_over(rows[7][1])), ("c3", "ACG"), ("c4", None)]
+    found = K.exact_streaks(spark.createDataFrame(rows, "rowid long, seq string"), spark.createDataFrame(chroms, "chrom string, seq string"), k, least)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    want = set()
+    for (x, s), reverse, (c, g) in itertools.product(rows, (False, True), chroms):
+        q = turned_over(s) if s and reverse else s
+        for i, j in itertools.product(range(len(q or "")), range(len(g or ""))):
+            if q[i] == g[j] and (i == 0 or j == 0 or q[i - 1] != g[j - 1]):
+                n = next((n for n in range(min(len(q) - i, len(g) - j)) if q[i + n] != g[j + n]), min(len(q) - i, len(g) - j))
+                if n >= max(k, least):
+                    want.add((x, c, reverse, i, j, n))
+    rows = [tuple(r) for r in found.collect()]
+    assert set(rows) == want and len(rows) == len(want) > 20
+
+
+def turned_over(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
