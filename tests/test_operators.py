@@ -412,3 +412,20 @@ def test_streaks_in_parts(spark, small_parts, k, least):
 
 def turned_over(s):
     return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def test_both_strands_in_parts(spark, small_parts):
+    rows = _family()
+    df = spark.createDataFrame(rows, "rowid long, seq string")
+    found = K.similarities_both_strands(df, 6, df)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    forward, reverse = _plain_similarities(rows, rows, 6), _plain_similarities([(x, turned_over(s) if s else s) for x, s in rows], rows, 6)
+    assert {(r.id_a, r.id_b): (r.forward, r.reverse) for r in found.collect()} == {p: (pytest.approx(forward.get(p, 0)), pytest.approx(reverse.get(p, 0))) for p in {*forward, *reverse}}
+
+
+def test_best_references_in_parts(spark, small_parts):
+    rows = _family()
+    df = spark.createDataFrame(rows, "rowid long, seq string")
+    every = _plain_similarities(rows, rows[:12], 6)
+    best = {r.id: r.ref_id for r in K.best_reference(df, df.where("rowid < 12"), 6).collect()}
+    assert best == {x: min(((-v, y) for (a, y), v in every.items() if a == x), default=(0, None))[1] for x, _ in rows}
