@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seqloom.operators import kmers as K
+from seqloom.runtime import written
 
 RESULT = "struct<score: int, a: string, b: string, matches: int, mismatches: int, small_indels: int, large_indels: int, identity: double>"
 
@@ -252,7 +253,7 @@ def aligned_pairs(pairs: DataFrame, a: str = "seq_a", b: str = "seq_b") -> DataF
 
 def candidate_pairs(reads: DataFrame, refs: DataFrame | None, k: int = 12, least: float = 0.0, key: str = "rowid") -> DataFrame:
     """(id_a, id_b, similarity, seq_a, seq_b) of pairs that share k-mers."""
-    pairs = K.similarities(reads, k, refs, key).where(F.col("similarity") >= least).select("id_a", "id_b", "similarity")
+    pairs = written(K.similarities(reads, k, refs, key, least).select("id_a", "id_b", "similarity"), "pairs")  # read twice where they are aligned
     other = reads if refs is None else refs
     return pairs.join(reads.select(F.col(key).alias("id_a"), F.col("seq").alias("seq_a")), "id_a").join(other.select(F.col(key).alias("id_b"), F.col("seq").alias("seq_b")), "id_b")
 
@@ -301,8 +302,11 @@ def _different(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def differences(pairs: DataFrame) -> DataFrame:
     """(id_a, id_b, position, kind, base_a, base_b): mismatches and gap letters inside the overlap; position on b from 0."""
-    found = F.pandas_udf(_different, "array<struct<position: int, kind: string, base_a: string, base_b: string>>")
-    return pairs.select("id_a", "id_b", F.inline(found("aln.a", "aln.b")))
+    return pairs.select("id_a", "id_b", F.inline(_found(F.col("aln.a"), F.col("aln.b"))))
+
+
+def _found(a: Column, b: Column) -> Column:
+    return F.pandas_udf(_different, "array<struct<position: int, kind: string, base_a: string, base_b: string>>")(a, b)
 
 
 def trimmed_to_reference(reads: DataFrame, reference: DataFrame, start: int | None = None, end: int | None = None, k: int = 12, key: str = "rowid") -> DataFrame:
@@ -355,9 +359,12 @@ def called_variants(reads: DataFrame, reference: DataFrame, least: float = 2.0,
     keys = [group] if group else []
     haps = reads.where("seq is not null").groupBy("seq").agg(F.min("rowid").alias("rowid"))
     weights = reads.where("seq is not null").groupBy("seq", *keys).agg(F.sum("cnt").alias("w")).join(haps, "seq").select(F.col("rowid").alias("id_a"), *keys, "w")
-    pairs = aligned_pairs(candidate_pairs(haps, reference, k, similarity))
-    best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy("id_a").orderBy(F.desc("aln.score"), "id_b"))).where("_r = 1").drop("_r")
+    pairs = candidate_pairs(haps, reference, k, similarity)
+    pieces = max(int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 3 * pairs.sparkSession.sparkContext.defaultParallelism)
+    found = pairs.repartition(pieces, "id_a").withColumn("aln", alignment(F.col("seq_a"), F.col("seq_b"))).select("id_a", "id_b", "aln.score", _found(F.col("aln.a"), F.col("aln.b")).alias("at"))
+    best = found.groupBy("id_a").agg(F.min_by(F.struct("id_b", "at"), F.struct(-F.col("score"), "id_b")).alias("b"))
+    best = written(best.select("id_a", "b.*"), "best")  # without the aligned letters, and once
     total = best.select("id_a", "id_b").join(weights, "id_a").groupBy("id_b", *keys).agg(F.sum("w").alias("_t"))
-    found = differences(best).join(weights, "id_a").groupBy("id_b", *keys, "position", "kind", "base_a", "base_b").agg(F.sum("w").alias("n"))
+    found = best.select("id_a", "id_b", F.inline("at")).join(weights, "id_a").groupBy("id_b", *keys, "position", "kind", "base_a", "base_b").agg(F.sum("w").alias("n"))
     out = found.where(F.col("n") >= least).join(total, ["id_b", *keys]).withColumn("fraction", F.col("n") / F.col("_t")).drop("_t")
     return out.where(F.col("fraction") > fraction).withColumnRenamed("id_b", "ref_id")

@@ -429,3 +429,23 @@ def test_best_references_in_parts(spark, small_parts):
     every = _plain_similarities(rows, rows[:12], 6)
     best = {r.id: r.ref_id for r in K.best_reference(df, df.where("rowid < 12"), 6).collect()}
     assert best == {x: min(((-v, y) for (a, y), v in every.items() if a == x), default=(0, None))[1] for x, _ in rows}
+
+
+def test_called_variants_align_once(spark, small_parts):
+    rows = _family()
+    reads = spark.createDataFrame([(*r, 1.0 + r[0] % 4, f"s{r[0] % 2}") for r in rows], "rowid long, seq string, cnt double, sample string")
+    refs = spark.createDataFrame([(100 + x, s) for x, s in rows[:6]], "rowid long, seq string")
+    found = A.called_variants(reads, refs, 2.0, 0.05, "sample", k=6)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Python" not in plan and "MapInArrow" not in plan  # both the totals and the differences aligned every pair
+    want, total = Counter(), Counter()
+    for x, s in rows:
+        near = [(-A.measured(s, t)["score"], y) for (_, y), v in _plain_similarities([(x, s)], [(100 + k, u) for k, u in rows[:6]], 6).items() if v >= 0.1 for t in [rows[y - 100][1]]]
+        if near:
+            ref, sample, weight = min(near)[1], f"s{x % 2}", 1.0 + x % 4
+            _, p, q = A.aligned_pair(s, rows[ref - 100][1])
+            total[ref, sample] += weight
+            for d in A._different(pd.Series([p]), pd.Series([q]))[0]:
+                want[ref, sample, d["position"], d["kind"], d["base_a"], d["base_b"]] += weight
+    want = {v: n for v, n in want.items() if n >= 2 and n / total[v[:2]] > 0.05}
+    assert {(r.ref_id, r.sample, r.position, r.kind, r.base_a, r.base_b): r.n for r in found.collect()} == want and len(want) > 5
