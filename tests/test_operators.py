@@ -449,3 +449,13 @@ def test_called_variants_align_once(spark, small_parts):
                 want[ref, sample, d["position"], d["kind"], d["base_a"], d["base_b"]] += weight
     want = {v: n for v, n in want.items() if n >= 2 and n / total[v[:2]] > 0.05}
     assert {(r.ref_id, r.sample, r.position, r.kind, r.base_a, r.base_b): r.n for r in found.collect()} == want and len(want) > 5
+
+
+def test_network_edges_without_a_kmer_join(spark, small_parts):
+    rows = _family()
+    found = N.nearest_events(A.compared(spark.createDataFrame(rows, "rowid long, seq string"), None, 6, 0.1))
+    assert "regexp_extract_all" not in found._jdf.queryExecution().optimizedPlan().toString()
+    texts = dict(rows)
+    events = {p: sum(A.measured(texts[p[0]], texts[p[1]])[m] for m in ("mismatches", "small_indels", "large_indels")) for p, v in _plain_similarities(rows, rows, 6).items() if p[0] > p[1] and v >= 0.1}
+    least = {x: min(n for p, n in events.items() if x in p) for p in events for x in p}
+    assert {(r.id_a, r.id_b): r.events for r in found.collect()} == {p: n for p, n in events.items() if n in (least[p[0]], least[p[1]])}
