@@ -459,3 +459,25 @@ def test_network_edges_without_a_kmer_join(spark, small_parts):
     events = {p: sum(A.measured(texts[p[0]], texts[p[1]])[m] for m in ("mismatches", "small_indels", "large_indels")) for p, v in _plain_similarities(rows, rows, 6).items() if p[0] > p[1] and v >= 0.1}
     least = {x: min(n for p, n in events.items() if x in p) for p in events for x in p}
     assert {(r.id_a, r.id_b): r.events for r in found.collect()} == {p: n for p, n in events.items() if n in (least[p[0]], least[p[1]])}
+
+
+@pytest.mark.parametrize("merge", [N.greedy_clusters, N.tandems_collapsed])
+def test_edges_are_made_once(spark, small_parts, merge):
+    rows = _family()
+    nodes = spark.createDataFrame([(*r, float(r[0] % 5)) for r in rows], "rowid long, seq string, cnt double")
+    found = merge(nodes, K.similarities(nodes, 6, least=0.5))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract_all" not in plan and "MapInArrow" not in plan
+    edges = {p for p, v in _plain_similarities(rows, rows, 6).items() if v >= 0.5 and p[0] != p[1]}
+    count = {x: float(x % 5) for x, _ in rows}
+    if merge is N.tandems_collapsed:
+        up = {x: min(((-count[y], y) for y in count if (x, y) in edges and count[y] >= 2 * count[x]), default=(0, x))[1] for x in count}
+        for _ in count:
+            up = {x: up[y] for x, y in up.items()}
+        assert {r.rowid: r.into for r in found.collect()} == up
+        return
+    centres, want = [], {}
+    for x in sorted(count, key=lambda x: (-count[x], x)):
+        want[x] = next((y for y in centres if (x, y) in edges), x)
+        centres += [x] * (want[x] == x)
+    assert {r.rowid: r.cluster for r in found.collect()} == want
